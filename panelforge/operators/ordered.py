@@ -219,7 +219,8 @@ def running(df: DataFrame, keys, order, cols, aggs, exclude_current: bool = Fals
         have = {
             "count": n, "sum": total, "avg": F.when(n > 0, total / n),
             "min": F.least(F.col(f"_{c}_lo"), F.min(c).over(w)), "max": F.greatest(F.col(f"_{c}_hi"), F.max(c).over(w)),
-            "std_samp": F.when(n > 1, F.sqrt(spread / (n - 1))), "std_pop": F.when(n > 0, F.sqrt(spread / n)),
+            "std_samp": F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))),
+            "std_pop": F.when(n > 0, F.sqrt(F.greatest(spread, F.lit(0.0)) / n)),
         }
         got |= {names(c, a): have[a] for a in aggs}
     hot = hot.withColumns(got).drop(SEG, *added)
