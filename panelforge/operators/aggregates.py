@@ -7,7 +7,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .ordered import by_key, group_quantiles, listed, point, running, same_keys
+from .ordered import AUTO, by_key, group_quantiles, listed, point, running, same_keys
 from ..functions.scalars import clip, safe_div
 
 
@@ -230,7 +230,7 @@ def hierarchy_weights(df, levels, value):
     return out.withColumn("weight", F.col("_v") / F.col("_t") / len(levels)).drop("_v", "_t")
 
 
-def series_scale(df, keys, order, col, bounded=False):
+def series_scale(df, keys, order, col, split=AUTO):
     """Mean squared step of a series from its first non-zero value on."""
     keys, order = listed(keys), listed(order)
     first = df.groupBy(*keys).agg(F.min(F.when(F.col(col) != 0, point(order))).alias("_first"))
@@ -239,7 +239,7 @@ def series_scale(df, keys, order, col, bounded=False):
     def step(d, ks):
         return d.withColumn("_d", F.col(col) - F.lag(col).over(W.partitionBy(*ks).orderBy(*order)))
 
-    return by_key(live, keys, order, step, before=1, bounded=bounded).groupBy(*keys).agg(F.avg(F.col("_d") * F.col("_d")).alias("scale"))
+    return by_key(live, keys, order, step, before=1, split=split).groupBy(*keys).agg(F.avg(F.col("_d") * F.col("_d")).alias("scale"))
 
 
 def quantile_expand(df, levels, value, ratios: dict[str, dict[float, float]]):

@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .ordered import by_key, fill, listed, running, same_keys
+from .ordered import by_key, fill, listed, running, same_keys, splitters
 from .ranking import top_rows
 
 DENSE_CELL = 50_000
@@ -116,7 +117,11 @@ def neighbors_join(left, right, keys, lid, lt, rt, rid, cols, n, direction="befo
     met = want.join(numbered.drop(rid), keys + ["_blk"]).filter(F.col("_pos").between(F.col("_lo"), F.col("_hi")))
     key = -F.col("_pos") if direction == "before" else F.col("_pos")
     packed = met.groupBy(*keys, lid).agg(F.sort_array(F.collect_list(F.struct(key.alias("_k"), *cols))).alias("_a"))
-    packed = packed.select(*keys, lid, *[F.transform("_a", lambda x, c=c: x[c]).alias(f"{c}_{direction}") for c in cols])
+
+    def field(c):
+        return F.transform("_a", lambda x: x[c]).alias(f"{c}_{direction}")
+
+    packed = packed.select(*keys, lid, *[field(c) for c in cols])
     out = left.select(*keys, lid).join(packed, keys + [lid], "left")
     return out.withColumns({f"{c}_{direction}": F.coalesce(F.col(f"{c}_{direction}"), F.array()) for c in cols})
 
@@ -164,18 +169,45 @@ def cross_keys(df, key, classes: dict[str, list[float]], event="event"):
     return df.select(key).distinct().select(key, F.explode(F.array(*pairs)).alias("_p")).select(key, "_p.*")
 
 
-def _match(pdf: pd.DataFrame, tol: float):
-    """Highest score first, each detection takes the nearest free truth closer than the tolerance."""
-    truth = pdf.loc[pdf["_isd"] == 0, "_t"].to_numpy()
-    free = [True] * len(truth)
-    dets = pdf[pdf["_isd"] == 1].sort_values(["_score", "_id"], ascending=[False, True])
-    matched = []
-    for t in dets["_t"]:
-        near = [(abs(t - g), i) for i, g in enumerate(truth) if free[i] and abs(t - g) < tol]
-        if near:
-            free[min(near)[1]] = False
-        matched.append(bool(near))
-    return dets.assign(matched=matched)
+def _match(times, truth, tol):
+    """Detection times, best first; each takes the nearest free truth closer than the tolerance."""
+    free, matched = np.ones(len(truth), bool), []
+    for t in times:
+        gap = np.where(free, np.abs(truth - t), np.inf)
+        i = int(gap.argmin()) if len(gap) else -1
+        matched.append(i >= 0 and gap[i] < tol)
+        if matched[-1]:
+            free[i] = False
+    return matched
+
+
+def _match_runs(keys, tolerance, batches):
+    """Match run by run over a partition sorted by run; a run cut by a batch end is carried on."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        ids = pdf.groupby([*keys, "_run"], sort=False, dropna=False).ngroup().to_numpy()
+        whole = ids < ids[-1]
+        rest = pdf[~whole]
+        yield from _matched(pdf[whole], ids[whole], tolerance)
+    if rest is not None:
+        yield from _matched(rest, np.zeros(len(rest)), tolerance)
+
+
+def _matched(pdf, ids, tolerance):
+    if not len(pdf):
+        return
+    isd, t, tol = pdf["_isd"].to_numpy() == 1, pdf["_t"].to_numpy(), pdf[tolerance].to_numpy()
+    best = np.lexsort((pdf["_id"].to_numpy(), -pdf["_score"].to_numpy()))
+    rank = np.empty(len(best), int)
+    rank[best] = np.arange(len(best))
+    out = np.zeros(len(pdf), bool)
+    edges = np.flatnonzero(np.diff(ids)) + 1
+    for part in np.split(np.arange(len(pdf)), edges):
+        d = part[isd[part]]
+        d = d[np.argsort(rank[d])]
+        out[d] = _match(t[d], t[part[~isd[part]]], tol[part[0]])
+    yield pdf.assign(matched=out)[isd]
 
 
 def greedy_match(truths, dets, keys, time, score, did, tolerance="tolerance"):
@@ -194,20 +226,14 @@ def greedy_match(truths, dets, keys, time, score, did, tolerance="tolerance"):
         prev = F.lag("_t").over(W.partitionBy(*ks).orderBy(*order))
         return x.withColumn("_new", F.coalesce((F.col("_t") - prev >= F.col(tolerance)).cast("int"), F.lit(1)))
 
-    runs = running(by_key(t.unionByName(d), keys, order, cut, before=1), keys, order, ["_new"], ["sum"], names=lambda c, a: "_run")
-    # runs without both kinds need no matching
-    kinds = runs.groupBy(*keys, "_run").agg((F.min("_isd") == 1).alias("_alone"))
-    runs = same_keys(runs, kinds, keys + ["_run"], "inner")
-    alone = runs.filter("_alone").select(*keys, F.col("_id").alias(did), F.col("_score").alias(score), F.lit(False).alias("matched"))
-    mixed = runs.filter("NOT _alone").drop("_alone", "_new")
-    fields = {f.name: f.dataType.simpleString() for f in mixed.schema.fields}
-    schema = ", ".join([f"`{k}` {fields[k]}" for k in keys] + [f"`{did}` bigint", f"`{score}` double", "matched boolean"])
-
-    def per_run(pdf):
-        out = _match(pdf, pdf[tolerance].iloc[0])
-        return out.rename(columns={"_id": did, "_score": score})[[*keys, did, score, "matched"]]
-
-    return alone.unionByName(mixed.groupBy(*keys, "_run").applyInPandas(per_run, schema))
+    both = t.unionByName(d)
+    cuts = splitters(both, keys, order)
+    runs = running(by_key(both, keys, order, cut, before=1, split=cuts), keys, order, ["_new"], ["sum"], split=cuts, names=lambda c, a: "_run")
+    runs = runs.drop("_new").repartition(*keys, "_run").sortWithinPartitions(*keys, "_run")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields]
+    schema = ", ".join([*fields, "matched boolean"])
+    out = runs.mapInPandas(lambda batches: _match_runs(keys, tolerance, batches), schema)
+    return out.select(*keys, F.col("_id").alias(did), F.col("_score").alias(score), "matched")
 
 
 def complete_range(df, keys, step, width=1, pad=None):

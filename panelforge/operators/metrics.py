@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpoint
 from .aggregates import hierarchy_sum, hierarchy_weights, series_scale
 from .joins import cross_keys, greedy_match, in_intervals
 from .ordered import listed, running, running_all, same_keys
@@ -117,11 +118,11 @@ def event_ap_table(truth, dets, tolerances, video="video_id", time="time", event
     """
     iv = to_intervals(truth, video, [time], event, time)
     facts = truth.filter(~F.col(event).isin("start", "end")).select(video, event, time)
-    dets = in_intervals(dets, iv, video, time, did)
+    dets = checkpoint(in_intervals(dets, iv, video, time, did))
     grid = cross_keys(facts, video, tolerances, event)
     t = facts.join(grid, [video, event])
     d = dets.join(grid, [video, event])
-    matched = greedy_match(t, d, [video, event], time, score, did)
+    matched = checkpoint(greedy_match(t, d, [video, event], time, score, did))
     return pr_area(matched, [event, "tolerance"], "matched", score, facts.groupBy(event).agg(F.count(F.lit(1)).alias("_p")))
 
 
@@ -160,7 +161,7 @@ def best_f1(df, y, p, by=None, n=100):
     return _by(f1_table(df, y, p, by, n), by, best).select(*listed(by or []), F.col("_b.f1").alias("f1"), (-F.col("_b.t")).alias("threshold"))
 
 
-def wrmsse_table(train, valid, levels, step, y, p, revenue, bounded=True):
+def wrmsse_table(train, valid, levels, step, y, p, revenue, split=None):
     """Scaled error and weight per series of every level.
 
     ``train`` and ``valid`` are long with the level columns and ``step``; ``revenue``
@@ -171,7 +172,7 @@ def wrmsse_table(train, valid, levels, step, y, p, revenue, bounded=True):
     timed = {name: [*cols, step] for name, cols in levels.items()}
     key = ["level", *dims]
     past = hierarchy_sum(train, timed, {"_y": y})
-    scale = series_scale(past, key, [step], "_y", bounded=bounded)
+    scale = series_scale(past, key, [step], "_y", split=split)
     ahead = hierarchy_sum(valid, timed, {"_y": y, "_p": p})
     err = ahead.groupBy(*key).agg(F.avg(F.pow(F.col("_y") - F.col("_p"), 2)).alias("_mse"))
     weights = hierarchy_weights(revenue, levels, "value")

@@ -10,7 +10,10 @@ into segments that are windowed in parallel.
 * Running frames get the state of the earlier segments, which is a small table of
   one row per segment.
 
-Any set of splitters gives the same result; they steer balance only.
+Any set of splitters gives the same result; they steer balance only. Every operator
+takes ``split``: ``AUTO`` draws them, ``None`` states that no key can be large (say,
+one row per month), and splitters drawn before, even from a table this one was made
+from, can be passed on, so a chain of operators reads its input once for them.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 SEG, CTX, POS = "_seg", "_ctx", "_pos"
 SEGMENT_ROWS = 2_000_000
 MAX_SPLITTERS = 100_000
+AUTO = "auto"
 
 
 def segment_rows(df: DataFrame) -> int:
@@ -80,6 +84,10 @@ def splitters(df: DataFrame, keys, order) -> Splitters | None:
     return Splitters(df.sparkSession.createDataFrame(large, schema), steps)
 
 
+def _chosen(df, keys, order, split) -> Splitters | None:
+    return splitters(df, keys, order) if split == AUTO else split
+
+
 def _located(df: DataFrame, keys: list[str], order: list[str], sp: Splitters) -> DataFrame:
     """Rows of the large keys with their segment: the number of splitters at or before the row."""
     pts, at = F.col("_pts"), F.col("_pt")
@@ -119,14 +127,11 @@ def _positioned(hot: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return based.withColumn(POS, F.col("_base") + rn).drop("_base")
 
 
-def by_key(df: DataFrame, keys, order, fn: Callable, before: int = 0, after: int = 0, bounded: bool = False) -> DataFrame:
+def by_key(df: DataFrame, keys, order, fn: Callable, before: int = 0, after: int = 0, split=AUTO) -> DataFrame:
     """Run ``fn(df, keys)``, made of windows over ``keys`` that look at most
-    ``before`` rows back and ``after`` rows ahead.
-
-    ``bounded=True`` states that no key can be large (say, one row per month).
-    """
+    ``before`` rows back and ``after`` rows ahead."""
     keys, order = listed(keys), listed(order)
-    sp = None if bounded else splitters(df, keys, order)
+    sp = _chosen(df, keys, order, split)
     if sp is None:
         return fn(df, keys)
     block = max(segment_rows(df), before + after + 1)
@@ -144,11 +149,11 @@ def by_key(df: DataFrame, keys, order, fn: Callable, before: int = 0, after: int
     return fn(_cold(df, keys, sp), keys).unionByName(hot)
 
 
-def positions(df: DataFrame, keys, order, name: str = "pos", bounded: bool = False) -> DataFrame:
+def positions(df: DataFrame, keys, order, name: str = "pos", split=AUTO) -> DataFrame:
     """1-based row number within the key."""
     keys, order = listed(keys), listed(order)
     plain = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")
-    sp = None if bounded else splitters(df, keys, order)
+    sp = _chosen(df, keys, order, split)
     if sp is None:
         return df.withColumn(name, plain)
     hot = _positioned(_located(df, keys, order, sp), keys, order)
@@ -156,7 +161,7 @@ def positions(df: DataFrame, keys, order, name: str = "pos", bounded: bool = Fal
     return _cold(df, keys, sp).withColumn(name, plain).unionByName(hot)
 
 
-def running(df: DataFrame, keys, order, cols, aggs, exclude_current: bool = False, bounded: bool = False,
+def running(df: DataFrame, keys, order, cols, aggs, exclude_current: bool = False, split=AUTO,
             names: Callable | None = None) -> DataFrame:
     """Running count, sum, avg, min, max, std_samp, std_pop over all rows so far.
 
@@ -177,7 +182,7 @@ def running(df: DataFrame, keys, order, cols, aggs, exclude_current: bool = Fals
         w = frame(keys)
         return d.withColumns({names(c, a): direct[a](c).over(w) for c in cols for a in aggs})
 
-    sp = None if bounded else splitters(df, keys, order)
+    sp = _chosen(df, keys, order, split)
     if sp is None:
         return plain(df)
     hot = _located(df, keys, order, sp)
@@ -227,7 +232,7 @@ def running(df: DataFrame, keys, order, cols, aggs, exclude_current: bool = Fals
     return plain(_cold(df, keys, sp)).unionByName(hot)
 
 
-def fill(df: DataFrame, keys, order, cols, back: bool = False, bounded: bool = False) -> DataFrame:
+def fill(df: DataFrame, keys, order, cols, back: bool = False, split=AUTO) -> DataFrame:
     """Replace NULL by the last earlier (``back``: next later) value of the key."""
     keys, order, cols = listed(keys), listed(order), listed(cols)
 
@@ -239,7 +244,7 @@ def fill(df: DataFrame, keys, order, cols, back: bool = False, bounded: bool = F
         w = w.rowsBetween(W.unboundedPreceding, 0)
         return d.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
-    sp = None if bounded else splitters(df, keys, order)
+    sp = _chosen(df, keys, order, split)
     if sp is None:
         return plain(df, keys)
     edge = F.min_by if back else F.max_by
@@ -297,7 +302,7 @@ class Step:
     fn: Callable[[DataFrame, list[str]], DataFrame]
 
 
-def chain(df: DataFrame, keys, order, *steps: Step, bounded: bool = False) -> DataFrame:
+def chain(df: DataFrame, keys, order, *steps: Step, split=AUTO) -> DataFrame:
     """Apply several steps over one key and order: one shuffle, one sort."""
 
     def fn(d, ks):
@@ -305,7 +310,7 @@ def chain(df: DataFrame, keys, order, *steps: Step, bounded: bool = False) -> Da
             d = s.fn(d, ks)
         return d
 
-    return by_key(df, keys, order, fn, sum(s.before for s in steps), sum(s.after for s in steps), bounded)
+    return by_key(df, keys, order, fn, sum(s.before for s in steps), sum(s.after for s in steps), split)
 
 
 def windowed(factory: Callable[..., Step]):
@@ -313,8 +318,8 @@ def windowed(factory: Callable[..., Step]):
     ``op.step`` is the factory, for use in ``chain``."""
 
     @functools.wraps(factory)
-    def op(df, keys, order, *args, bounded=False, **kw):
-        return chain(df, keys, order, factory(listed(order), *args, **kw), bounded=bounded)
+    def op(df, keys, order, *args, split=AUTO, **kw):
+        return chain(df, keys, order, factory(listed(order), *args, **kw), split=split)
 
     op.step = factory
     return op

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .aggregates import tail_rows
-from .ordered import listed, positions, same_keys
+from .ordered import AUTO, listed, positions, same_keys
 
 CHUNK = 100_000
 
@@ -14,17 +14,21 @@ def _gather(df, keys, order, cols):
     order, cols = listed(order), listed(cols)
     at = F.struct(F.struct(*order).alias("_o"), F.struct(*cols).alias("_v"))
     packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(at)).alias("_a"))
-    return packed.select(*keys, *[F.transform("_a", lambda x, c=c: x["_v"][c]).alias(c) for c in cols])
 
+    def field(c):
+        return F.transform("_a", lambda x: x["_v"][c]).alias(c)
 
-def sequences(df, keys, order, cols, chunk=CHUNK, bounded=False):
+    return packed.select(*keys, *[field(c) for c in cols])
+
+
+def sequences(df, keys, order, cols, chunk=CHUNK, split=AUTO):
     """Aligned arrays of the columns per key in order, in pieces of at most ``chunk`` rows.
 
     A key longer than ``chunk`` gives several rows, numbered by ``piece`` from 0, so
     no array grows without bound and nothing is cut off.
     """
     keys = listed(keys)
-    d = positions(df, keys, order, "_pos", bounded)
+    d = positions(df, keys, order, "_pos", split)
     d = d.withColumn("piece", F.floor((F.col("_pos") - 1) / chunk))
     return _gather(d, keys + ["piece"], order, cols)
 

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, Window as W, functions as F
 
-from .ordered import Step, fill, listed, positions, running, same_keys, windowed
+from .ordered import AUTO, Step, fill, listed, positions, running, same_keys, splitters, windowed
 from ..functions.scalars import clip, frac_part, int_part
 
 
@@ -298,26 +298,27 @@ def transform_agg(df, keys, aggs: dict[str, Column]):
     return same_keys(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys, "left")
 
 
-def cumcount(df, keys, order, mod=None, name="cumcount", bounded=False):
+def cumcount(df, keys, order, mod=None, name="cumcount", split=AUTO):
     """Rows before this one in the key, optionally modulo ``mod``."""
-    out = positions(df, keys, order, name, bounded)
+    out = positions(df, keys, order, name, split)
     return out.withColumn(name, F.col(name) - 1 if mod is None else (F.col(name) - 1) % mod)
 
 
-def ffill(df, keys, order, cols, bounded=False):
-    return fill(df, keys, order, cols, bounded=bounded)
+def ffill(df, keys, order, cols, split=AUTO):
+    return fill(df, keys, order, cols, split=split)
 
 
-def bfill(df, keys, order, cols, bounded=False):
-    return fill(df, keys, order, cols, back=True, bounded=bounded)
+def bfill(df, keys, order, cols, split=AUTO):
+    return fill(df, keys, order, cols, back=True, split=split)
 
 
-def since_last(df, keys, order, step, pred, shift=0, name="since_last", bounded=False):
+def since_last(df, keys, order, step, pred, shift=0, name="since_last", split=AUTO):
     """Distance in ``step`` units to the last row meeting ``pred`` at least ``shift`` rows back."""
+    split = splitters(df, keys, order) if split == AUTO else split
     marked = df.withColumn("_hit", F.when(pred, F.col(step)))
-    marked = fill(marked, keys, order, "_hit", bounded=bounded)
+    marked = fill(marked, keys, order, "_hit", split=split)
     if shift:
-        marked = lags(marked, keys, order, "_hit", [shift], names=lambda c, n: c, bounded=bounded)
+        marked = lags(marked, keys, order, "_hit", [shift], names=lambda c, n: c, split=split)
     return marked.withColumn(name, F.col(step) - F.col("_hit")).drop("_hit")
 
 

@@ -1,2 +1,2 @@
 from .catalog import OPERATORS, ORACLE, QUERIES  # noqa: F401
-from . import panel, profiles  # noqa: F401
+from . import panel, profiles, baskets, matching  # noqa: F401

@@ -54,9 +54,10 @@ def customer_order_history(t):
     b = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     b = b.groupBy("o_custkey", "o_orderkey", "o_orderdate").agg(F.sum("l_quantity").alias("qty"))
     k, o = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    cut = O.splitters(t.orders, k, o)  # the series has the orders' keys
     p = A.numeric_profile(b, k, o, "qty")
-    w = O.chain(b, k, o, N.lags.step(o, "qty", [1, 2]), N.rolling.step(o, "qty", [3], min_periods=1))
-    w = O.running(w, k, o, "qty", ["avg"])
+    w = O.chain(b, k, o, N.lags.step(o, "qty", [1, 2]), N.rolling.step(o, "qty", [3], min_periods=1), split=cut)
+    w = O.running(w, k, o, "qty", ["avg"], split=cut)
     return w.drop("o_orderdate").join(p, "o_custkey")
 
 
@@ -74,7 +75,7 @@ def supplier_lags_diffs(t):
         supplier_month(t), K, o, N.lags.step(o, "qty", [1, 3, -2]), N.diffs.step(o, "qty", [1, -1]),
         N.pct_changes.step(o, "qty", [1], -0.5, 0.5),
         N.diffs.step(o, "qty", [2], shift=3, names=lambda c, n: "shifted_diff"),
-        N.pct_changes.step(o, "qty", [1], shift=3, names=lambda c, n: "shifted_pct"), bounded=True,
+        N.pct_changes.step(o, "qty", [1], shift=3, names=lambda c, n: "shifted_pct"), split=None,
     )
     return out.drop("n", "price")
 
@@ -91,10 +92,10 @@ SELECT l_suppkey, month, ff, bf, yf, ff / lag(ff) OVER c - 1 AS ff_pct_1,
 def supplier_fill_change(t):
     g = supplier_month(t).withColumn("q", F.when(F.col("n") % 4 != 0, F.col("qty")))
     g = g.withColumns({"ff": F.col("q"), "bf": F.col("q"), "yf": F.col("q"), "y": F.year("month")})
-    g = N.ffill(g, K, MO, ["ff"], bounded=True)
-    g = N.bfill(g, K, MO, ["bf"], bounded=True)
-    g = N.ffill(g, ["l_suppkey", "y"], MO, ["yf"], bounded=True)
-    g = O.chain(g, K, MO, N.pct_changes.step(MO, "ff", [1]), N.change_ratio.step(MO, "bf"), bounded=True)
+    g = N.ffill(g, K, MO, ["ff"], split=None)
+    g = N.bfill(g, K, MO, ["bf"], split=None)
+    g = N.ffill(g, ["l_suppkey", "y"], MO, ["yf"], split=None)
+    g = O.chain(g, K, MO, N.pct_changes.step(MO, "ff", [1]), N.change_ratio.step(MO, "bf"), split=None)
     return g.select("l_suppkey", "month", "ff", "bf", "yf", "ff_pct_1", "bf_change")
 
 
@@ -122,7 +123,7 @@ def supplier_month_rolling(t):
         r(MO, "qty", [6], ["avg", "std", "min", "max"], shift=3, names=lambda a, w: f"late_{a}_{w}"),
         r(MO, "qty", [5], ["avg", "median"], center=True, names=lambda a, w: f"mid_{a}_{w}"),
         r(MO, "qty", [3], ["sum"], forward=True, names=lambda a, w: f"next_{a}_{w}"),
-        r(MO, "qty", [24], ["max"], shift=1, names=lambda a, w: "top"), bounded=True,
+        r(MO, "qty", [24], ["max"], shift=1, names=lambda a, w: "top"), split=None,
     )
     return out.withColumn("below_max_24", F.col("qty") - F.col("top")).drop("n", "price", "qty", "top")
 
@@ -143,7 +144,7 @@ FROM r WINDOW d AS ({W_SM} ROWS 11 PRECEDING), e AS ({W_SM} ROWS BETWEEN 6 PRECE
 def supplier_rolling_shape(t):
     out = O.chain(
         supplier_month(t), K, MO, N.rolling.step(MO, "qty", [12], ["skew", "kurt", "nunique"]),
-        N.rolling_rate.step(MO, F.col("qty") > 200, [6], shift=1), N.rolling_slope.step(MO, "qty"), bounded=True,
+        N.rolling_rate.step(MO, F.col("qty") > 200, [6], shift=1), N.rolling_slope.step(MO, "qty"), split=None,
     )
     return out.drop("n", "price", "qty")
 
@@ -164,7 +165,7 @@ SELECT l_suppkey, month, CAST(q IS NULL AS INT) AS q_missing,
 FROM g WINDOW m AS ({W_SM} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""", "q_imputed", "q_missing")
 def supplier_impute_centered(t):
     g = supplier_month(t).withColumn("q", F.when(F.col("n") % 4 != 0, F.col("qty")))
-    return N.impute_centered(g, K, MO, "q", bounded=True).select("l_suppkey", "month", "q_missing", "q_imputed")
+    return N.impute_centered(g, K, MO, "q", split=None).select("l_suppkey", "month", "q_missing", "q_imputed")
 
 
 @query("user_running_stats", "W16 W17 W20 W22", f"""
@@ -177,10 +178,12 @@ WITH {EV} SELECT user_id, event_id,
 FROM ev WINDOW a AS ({W_EV} ROWS UNBOUNDED PRECEDING), b AS ({W_EV} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
        "value_running_sum value_running_avg value_running_std_samp value_past_avg value_past_std_pop hit_past_avg done_share", "hit_past_sum", digits=9)
 def user_running_stats(t):
-    d = O.running(log(t), U, UO, "value", ["count", "sum", "avg", "std_samp", "max"])
+    e = log(t)
+    cut = O.splitters(e, U, UO)
+    d = O.running(e, U, UO, "value", ["count", "sum", "avg", "std_samp", "max"], split=cut)
     past = lambda c, a: f"{c}_past_{a}"
-    d = O.running(d, U, UO, "value", ["avg", "std_pop", "count"], exclude_current=True, names=past)
-    d = O.running(d, U, UO, "hit", ["avg", "sum"], exclude_current=True, names=past)
+    d = O.running(d, U, UO, "value", ["avg", "std_pop", "count"], exclude_current=True, names=past, split=cut)
+    d = O.running(d, U, UO, "hit", ["avg", "sum"], exclude_current=True, names=past, split=cut)
     d = d.withColumn("done_share", F.when(F.col("hit") == 1, F.col("value_past_count") / (F.col("event_id") + 1)))
     return d.drop("event_type", "value", "us", "hit", "ts", "value_past_count")
 
@@ -236,7 +239,7 @@ FROM d WINDOW c AS ({W_SM}), k AS (PARTITION BY l_suppkey)""", "price_to_prev pr
 def supplier_price_features(t):
     d = supplier_month(t)
     d = d.withColumn("mi", F.months_between("month", F.lit("1990-01-01").cast("date")).cast("bigint"))
-    d = N.price_relatives(d, K, MO, "price", bounded=True)
+    d = N.price_relatives(d, K, MO, "price", split=None)
     d = N.transform_agg(d, K, {"top": F.max("price")})
     d = N.transform_agg(d, MO, {"mean": F.avg("price")})
     d = N.weeks_since_first(d, K, "mi", "since_release")
@@ -250,9 +253,11 @@ s AS (SELECT *, pos - max(CASE WHEN hit = 1 THEN pos END) OVER (PARTITION BY use
   pos - max(CASE WHEN hit = 1 THEN pos END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS since_before FROM r)
 SELECT user_id, event_id, since_last, since_before, CASE WHEN since_last > 4 THEN NULL ELSE value END AS live_value FROM s""")
 def user_since_last(t):
-    d = O.positions(log(t), U, UO)
-    d = N.since_last(d, U, UO, "pos", F.col("hit") == 1)
-    d = N.since_last(d, U, UO, "pos", F.col("hit") == 1, shift=2, name="since_before")
+    e = log(t)
+    cut = O.splitters(e, U, UO)
+    d = O.positions(e, U, UO, split=cut)
+    d = N.since_last(d, U, UO, "pos", F.col("hit") == 1, split=cut)
+    d = N.since_last(d, U, UO, "pos", F.col("hit") == 1, shift=2, name="since_before", split=cut)
     d = d.withColumn("live_value", F.when(F.col("since_last") > 4, None).otherwise(F.col("value")))
     return d.select("user_id", "event_id", "since_last", "since_before", "live_value")
 
@@ -283,7 +288,7 @@ def supplier_share_weight(t):
 @query("supplier_log_return", "W32", f"""
 WITH {SM} SELECT l_suppkey, month, ln(qty) - ln(lag(qty, 2) OVER c) AS ret, abs(ln(qty) - ln(lag(qty) OVER c)) AS abs_ret FROM sm WINDOW c AS ({W_SM})""", "ret abs_ret")
 def supplier_log_return(t):
-    d = O.chain(supplier_month(t), K, MO, N.log_return.step(MO, "qty", 2, name="ret"), N.log_return.step(MO, "qty", 1, True, "abs_ret"), bounded=True)
+    d = O.chain(supplier_month(t), K, MO, N.log_return.step(MO, "qty", 2, name="ret"), N.log_return.step(MO, "qty", 1, True, "abs_ret"), split=None)
     return d.drop("qty", "n", "price")
 
 
@@ -298,8 +303,8 @@ WITH {SM}, r AS (SELECT l_suppkey, month, qty, n, lag(qty, 2) OVER c AS qty_t_2,
   list(qty) OVER (c ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS "window" FROM sm WINDOW c AS ({W_SM}))
 SELECT *, qty AS next_value FROM r WHERE qty_t_2 IS NOT NULL AND len("window") = 3""")
 def supplier_supervised(t):
-    d = O.chain(supplier_month(t), K, MO, N.supervised.step(MO, ["qty", "n"], 2), bounded=True)
-    w = N.window_pairs(supplier_month(t), K, MO, "qty", 3, bounded=True).select("l_suppkey", "month", "window", "next_value")
+    d = O.chain(supplier_month(t), K, MO, N.supervised.step(MO, ["qty", "n"], 2), split=None)
+    w = N.window_pairs(supplier_month(t), K, MO, "qty", 3, split=None).select("l_suppkey", "month", "window", "next_value")
     return d.drop("price").join(w, ["l_suppkey", "month"])
 
 

@@ -202,7 +202,7 @@ SELECT l_suppkey, avg(d * d) AS scale FROM d GROUP BY 1""", "scale")
 def supplier_series_scale(t):
     q = F.sum(F.when(F.col("l_quantity") > 25, F.col("l_quantity")).otherwise(0.0)).alias("q")
     sm = t.lineitem.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(q)
-    return A.series_scale(sm, "l_suppkey", "month", "q", bounded=True)
+    return A.series_scale(sm, "l_suppkey", "month", "q", split=None)
 
 
 _RATIOS = {name: {q: 1 + (q - 0.5) * (0.2 + 0.05 * i) for q in (0.025, 0.25, 0.5, 0.75, 0.975)} for i, name in enumerate(LEVELS)}
