@@ -71,12 +71,12 @@ def gini_capture(df, y, p, rid, neg_w=20, top=0.04):
     d = df.select(F.col(y).cast("double").alias("_y"), (-F.col(p)).alias("_o"), F.col(rid).alias("_id"))
     d = d.withColumn("_w", F.when(F.col("_y") == 0, float(neg_w)).otherwise(1.0)).withColumn("_yw", F.col("_y") * F.col("_w"))
     d = running_all(d, ["_o", "_id"], ["_w", "_yw"], ["sum"], names=lambda c, a: f"_c{c}")
-    totals = d.agg(F.sum("_w").alias("_W"), F.sum("_yw").alias("_P"), F.sum("_y").alias("_n"), F.sum(1 - F.col("_y")).alias("_m"))
+    totals = d.agg(F.sum("_w").alias("_all"), F.sum("_yw").alias("_found"), F.sum("_y").alias("_n"), F.sum(1 - F.col("_y")).alias("_m"))
     d = d.join(F.broadcast(totals))
-    found = F.sum(F.when(F.col("_c_w") <= F.floor(F.lit(top) * F.col("_W")), F.col("_y")).otherwise(0.0))
-    gini = F.sum((F.col("_c_yw") / F.col("_P") - F.col("_c_w") / F.col("_W")) * F.col("_w"))
-    s = d.groupBy("_W", "_P", "_n", "_m").agg(found.alias("_f"), gini.alias("_g"))
-    n, m, w = F.col("_n"), F.col("_m"), F.col("_W")
+    found = F.sum(F.when(F.col("_c_w") <= F.floor(F.lit(top) * F.col("_all")), F.col("_y")).otherwise(0.0))
+    gini = F.sum((F.col("_c_yw") / F.col("_found") - F.col("_c_w") / F.col("_all")) * F.col("_w"))
+    s = d.groupBy("_all", "_found", "_n", "_m").agg(found.alias("_f"), gini.alias("_g"))
+    n, m, w = F.col("_n"), F.col("_m"), F.col("_all")
     # the best order has all positives first: an arithmetic series
     ideal = (1 / n - 1 / w) * n * (n + 1) / 2 + neg_w * (m - (m * n + neg_w * m * (m + 1) / 2) / w)
     return s.select((0.5 * (F.col("_g") / ideal + F.col("_f") / n)).alias("score"))
