@@ -101,7 +101,7 @@ def date_arithmetic(t):
 @query("geometry", "F17 F21", """
 WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS x, l_linenumber::DOUBLE AS y, l_tax * 100 AS u, l_discount * 100 AS v FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sqrt(pow(x - u, 2) + pow(y - v, 2)) AS distance,
- acos(least(greatest((x * u + y * v) / nullif(sqrt(x * x + y * y) * sqrt(u * u + v * v), 0), -1), 1)) AS angle,
+ CASE WHEN u <> 0 OR v <> 0 THEN acos(least(greatest((x * u + y * v) / nullif(sqrt(x * x + y * y) * sqrt(u * u + v * v), 0), -1), 1)) END AS angle,
  CASE WHEN abs(u / x) <= 1 THEN acos(u / x) END AS ratio_angle, (x + 0.5 * y) / (x + y + u) AS win_rate FROM p""", "distance angle ratio_angle win_rate", digits=5)
 def geometry(t):
     l = t.lineitem
