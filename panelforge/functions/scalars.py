@@ -32,6 +32,15 @@ def div0(a, b) -> Column:
     return F.when(_c(b) == 0, 0.0).otherwise(_c(a) / _c(b))
 
 
+def correlation(a, b, over=None) -> Column:
+    """Pearson correlation as an aggregate or over a window; NULL where a side does not vary."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    at = (lambda x: x.over(over)) if over is not None else (lambda x: x)
+    spread = lambda x: at(F.stddev_pop(F.when(both, x)))
+    return F.try_divide(at(F.covar_pop(a, b)), spread(a) * spread(b))
+
+
 def round_bin(c, digits: int = 0, lo=None, hi=None) -> Column:
     """Clip, then round half to even to ``digits`` places."""
     return F.bround(clip(c, lo, hi), digits)

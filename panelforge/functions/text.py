@@ -21,7 +21,7 @@ def _c(x):
 
 def words(c) -> Column:
     """Parts between runs of white space."""
-    return F.filter(F.split(_c(c), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(_c(c), r"\s+"), "")
 
 
 def tokens(c) -> Column:
@@ -58,9 +58,11 @@ def quotes_found(text, ref) -> Column:
 
 def ngrams(arr: Column, n: int) -> Column:
     """Distinct runs of n neighbouring words, joined by a space."""
-    starts = F.sequence(F.lit(1), F.size(arr) - (n - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(arr, i, n), " "))
-    return F.when(F.size(arr) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    size, runs = F.size(arr), arr
+    kept = F.greatest(size - (n - 1), F.lit(0))
+    for i in range(1, n):
+        runs = F.zip_with(F.slice(runs, 1, kept), F.slice(arr, i + 1, kept), lambda x, y: F.concat_ws(" ", x, y))
+    return F.array_distinct(runs)
 
 
 def ngram_overlap(a, b, n: int) -> Column:
@@ -74,29 +76,32 @@ def _is_stop(w, stop):
 
 def word_overlap(a, b, stop=STOP_WORDS) -> Column:
     """Distinct words, stop words left out, that both texts have."""
-    kept = lambda c: F.filter(words(c), lambda w: ~_is_stop(w, stop))
-    return F.size(F.array_intersect(kept(a), kept(b)))
+    return F.size(F.array_except(F.array_intersect(words(a), words(b)), F.array(*[F.lit(w) for w in stop])))
 
 
-def char_class_counts(c, stop=STOP_WORDS) -> dict[str, Column]:
-    """Punctuation, stop words, upper-case words, characters per word, words per sentence, longest word."""
-    w = words(c)
+def char_class_counts(c, stop=STOP_WORDS, split=None) -> dict[str, Column]:
+    """Punctuation, stop words, upper-case words, characters per word, words per sentence, longest word.
+
+    ``split`` is a column that already holds ``words(c)``, so the text is split once.
+    """
+    w = words(c) if split is None else split
     n = F.size(w)
     return {
         "punctuation": pattern_count(c, PUNCTUATION),
-        "stop_words": F.size(F.filter(words(F.lower(_c(c))), lambda x: _is_stop(x, stop))),
-        "upper_words": F.size(F.filter(w, lambda x: x.rlike("[A-Z]") & (x == F.upper(x)))),
+        "stop_words": F.size(F.filter(w, lambda x: _is_stop(F.lower(x), stop))),
+        "upper_words": F.size(F.filter(w, lambda x: (x == F.upper(x)) & x.rlike("[A-Z]"))),
         "word_density": F.length(_c(c)) / (n + 1),
         "words_per_sentence": n / F.size(F.split(_c(c), r"\.")),
         "longest_word": F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)),
     }
 
 
-def word_length_stats(c) -> dict[str, Column]:
-    """Mean and median word length; NULL without words."""
-    a = F.array_sort(F.transform(words(c), F.length))
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0), lambda s, x: s + x) / F.when(n > 0, n)
+def word_length_stats(c, split=None) -> dict[str, Column]:
+    """Mean and median word length; NULL without words. ``split`` as in ``char_class_counts``."""
+    w = words(c) if split is None else split
+    a = F.sort_array(F.transform(w, F.length))
+    n = F.size(w)
+    mean = F.length(F.array_join(w, "")) / F.when(n > 0, n)
     mid = (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
     return {"word_len_mean": mean, "word_len_median": F.when(n > 0, mid)}
 
@@ -113,7 +118,7 @@ def symbol_counts(c, symbols=None) -> dict[str, Column]:
     lengths = F.transform(t, F.length)
     return out | {
         "diversity": F.size(F.array_distinct(t)) / n, "longest": F.array_max(lengths),
-        "mean_len": F.aggregate(lengths, F.lit(0), lambda s, x: s + x) / n,
+        "mean_len": (F.length(c) - (n - 1)) / n,
     }
 
 

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.scalars import clip, map_values
+from ..functions.scalars import clip, correlation, map_values
 from .ordered import by_key, group_quantiles, listed, point, positions_all, same_keys
 
 
@@ -63,7 +63,7 @@ def low_variance_cols(df, t, cols=None):
 def corr_pairs(df, cols):
     """Pearson correlation of each pair of columns, in one aggregation pass."""
     pairs = list(combinations(listed(cols), 2))
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs])
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r")) for a, b in pairs])
     return df.agg(rows.alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
@@ -79,7 +79,7 @@ def high_corr_cols(df, cols, t):
 
 def target_corr(df, cols, y):
     """Correlation of each column with the target."""
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.corr(c, y).alias("r")) for c in listed(cols)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), correlation(c, y).alias("r")) for c in listed(cols)])
     return df.agg(rows.alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 

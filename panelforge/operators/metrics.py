@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import correlation
 from ..session import checkpoint
 from .aggregates import hierarchy_sum, hierarchy_weights, series_scale
 from .joins import cross_keys, greedy_match, in_intervals
@@ -43,7 +44,7 @@ def smape(df, y, p, by=None):
 def weighted_corr(df, y, p, w=None, by=None):
     """Weighted Pearson correlation; unweighted without ``w``."""
     if w is None:
-        return _by(df, by, F.corr(y, p).alias("corr"))
+        return _by(df, by, correlation(y, p).alias("corr"))
     a, b, v = F.col(y), F.col(p), F.col(w)
     s = _by(
         df, by, F.sum(v).alias("_w"), F.sum(a * v).alias("_a"), F.sum(b * v).alias("_b"),

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-SEG, CTX, POS = "_seg", "_ctx", "_pos"
+SEG, CTX, POS = "_seg", "_ctx", "_at_row"
 SEGMENT_ROWS = 2_000_000
 MAX_SPLITTERS = 100_000
 AUTO = "auto"

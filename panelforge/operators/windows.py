@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, Window as W, functions as F
 
 from .ordered import AUTO, Step, fill, listed, positions, running, same_keys, splitters, windowed
-from ..functions.scalars import clip, frac_part, int_part
+from ..functions.scalars import clip, correlation, frac_part, int_part
 
 
 def _w(ks, order):
@@ -136,12 +136,11 @@ def rolling_slope(order, col, win=12, min_periods=9):
         d = d.withColumn("_i", F.row_number().over(_w(ks, order)).cast("double"))
         f = _w(ks, order).rowsBetween(-(win - 1), 0)
         enough = F.count(col).over(f) >= min_periods
-        r = F.corr(col, "_i").over(f)
-        return d.withColumns({
+        d = d.withColumns({
             f"{col}_slope_{win}": F.when(enough, F.regr_slope(F.col(col), F.col("_i")).over(f)),
-            f"{col}_corr_{win}": F.when(enough, r),
-            f"{col}_r2_{win}": F.when(enough, r * r),
+            f"{col}_corr_{win}": F.when(enough, correlation(col, "_i", f)),
         }).drop("_i")
+        return d.withColumn(f"{col}_r2_{win}", F.col(f"{col}_corr_{win}") * F.col(f"{col}_corr_{win}"))
 
     return Step(win - 1, 0, fn)
 

@@ -39,7 +39,7 @@ def bar_shadows(t):
 WITH {BARS}, p AS (SELECT asset, hour, count::DOUBLE AS b, open / count AS o, high / count AS h, low / count AS l, close / count AS c FROM bars)
 SELECT asset, hour, b AS base, o AS per_open, h AS per_high, l AS per_low, c AS per_close, ln(1 + CASE WHEN o = 0 THEN 0 ELSE b / o END) AS log_base_open,
  ln(1 + h) * ln(1 + CASE WHEN o = 0 THEN 0 ELSE h / o END) + ln(1 + CASE WHEN c = 0 THEN 0 ELSE l / c END) * ln(1 + CASE WHEN o = 0 THEN 0 ELSE l / o END) AS log_mix,
- c - h AS gap, (c - h) / b AS gap_per FROM p""", "base per_open per_high per_low per_close log_base_open log_mix gap gap_per")
+ c - h AS gap, (c - h) / b AS gap_per FROM p""", "base per_open per_high per_low per_close log_base_open log_mix gap gap_per", digits=9)
 def bar_ratios(t):
     return C.ratio_block(bars(t)).drop("open", "high", "low", "close", "volume", "count")
 
@@ -115,7 +115,7 @@ SELECT asset, hour, sum(CASE WHEN close < prev THEN -volume ELSE volume END) OVE
  sum(CASE WHEN high = low THEN 0 ELSE (close - low - (high - close)) / (high - low) END * volume) OVER u AS adi,
  sum(coalesce(volume * ((close - prev) / nullif(prev, 0)), 0)) OVER u AS vpt,
  CASE WHEN count(*) OVER f = 14 THEN sum(tp * volume) OVER f / nullif(sum(volume) OVER f, 0) END AS vwap
-FROM x WINDOW u AS ({W} ROWS UNBOUNDED PRECEDING), f AS ({W} ROWS 13 PRECEDING)""", "obv adi vpt vwap", digits=5)
+FROM x WINDOW u AS ({W} ROWS UNBOUNDED PRECEDING), f AS ({W} ROWS 13 PRECEDING)""", "obv adi vpt vwap", digits=3)
 def bar_volume_lines(t):
     return _only(C.volume_lines(bars(t), K, H), "obv", "adi", "vpt", "vwap")
 

@@ -13,11 +13,17 @@ STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 
 
+def spread(df):
+    """Deal rows out when a table has fewer splits than the cluster has slots; work per text is heavy."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 @query("text_counts", "F1 F2", rf"""
 SELECT doc_id, length(text) AS char_count, len({WORDS}) AS word_count, len(string_split(text, '.')) AS sentence_count, len(list_distinct({WORDS})) AS unique_words,
  len(regexp_extract_all(text, '"(.*?)"')) AS quoted, len(regexp_extract_all(text, '\.{{3,4}}')) AS dots FROM documents""")
 def text_counts(t):
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in X.text_counts("text").items()], X.quoted_count("text").alias("quoted"), X.dots_count("text").alias("dots"))
+    return spread(t.documents).select("doc_id", *[c.alias(n) for n, c in X.text_counts("text").items()], X.quoted_count("text").alias("quoted"), X.dots_count("text").alias("dots"))
 
 
 @query("text_char_classes", "F6 F7", rf"""
@@ -27,8 +33,9 @@ SELECT doc_id, len(regexp_extract_all(text, '[!-/:-@\[-`{{-~]')) AS punctuation,
  len(w) / len(string_split(text, '.')) AS words_per_sentence, coalesce(list_max(n), 0) AS longest_word, list_avg(n) AS word_len_mean, list_median(n) AS word_len_median FROM s""",
        "word_density words_per_sentence word_len_mean word_len_median", digits=9)
 def text_char_classes(t):
-    cols = X.char_class_counts("text") | X.word_length_stats("text")
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in cols.items()])
+    d = spread(t.documents).withColumn("w", X.words("text"))
+    cols = X.char_class_counts("text", split=F.col("w")) | X.word_length_stats("text", F.col("w"))
+    return d.select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
 @query("text_symbols", "F8", """
@@ -37,12 +44,12 @@ SELECT doc_id, """ + ", ".join(f"length(text) - length(replace(text, '{s}', ''))
  len(list_distinct(p)) / len(p) AS diversity, list_max(list_transform(p, lambda x: length(x))) AS longest, list_avg(list_transform(p, lambda x: length(x))) AS mean_len FROM s""",
        "diversity mean_len", digits=9)
 def text_symbols(t):
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in X.symbol_counts("text").items()])
+    return spread(t.documents).select("doc_id", *[c.alias(n) for n, c in X.symbol_counts("text").items()])
 
 
 def pairs(t: Tables):
     """Each later turn of a conversation with the turn before it."""
-    c = t.conversations
+    c = spread(t.conversations)
     first = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
     return c.join(first, ["conv_id", "turn"])
 
@@ -62,7 +69,7 @@ def reply_overlap(t):
 
 @query("readability_grades", "F9")
 def readability_grades(t):
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in X.readability("text").items()])
+    return spread(t.documents).select("doc_id", *[c.alias(n) for n, c in X.readability("text").items()])
 
 
 @query("cleaned_text", "F10 F11", rf"""
@@ -157,7 +164,7 @@ def vector_pca(t):
 def document_tfidf(t):
     from pyspark.ml.functions import vector_to_array
 
-    d, _ = L.tfidf(t.documents.select("doc_id", X.words(F.lower("text")).alias("w")), "w", (2, 3), 64)
+    d, _ = L.tfidf(spread(t.documents).select("doc_id", X.words(F.lower("text")).alias("w")), "w", (2, 3), 64)
     return d.select("doc_id", vector_to_array("tfidf").alias("tfidf"))
 
 

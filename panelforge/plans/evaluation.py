@@ -162,7 +162,7 @@ def label_windows(t):
 
 @query("virtual_time_folds", "V10", f"""
 WITH {EV}, l AS (SELECT user_id, max(us) AS own FROM ev GROUP BY 1), a AS (SELECT max(us) AS hi FROM ev),
-v AS (SELECT event_id, ev.user_id, us + CAST(floor((hi - own) * ((ev.user_id * 37) % 100) / 100.0::DOUBLE) AS BIGINT) AS vt FROM ev JOIN l ON ev.user_id = l.user_id, a),
+v AS (SELECT event_id, ev.user_id, us + CAST(floor((hi - own) * (((ev.user_id * 37) % 100) / 100.0::DOUBLE)) AS BIGINT) AS vt FROM ev JOIN l ON ev.user_id = l.user_id, a),
 p AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY vt, event_id) AS back FROM v)
 SELECT event_id, vt AS virtual_ts, CASE WHEN back < 500 THEN 'eval' WHEN (back - 500) // 800 < 3 THEN 'valid_' || ((back - 500) // 800) ELSE 'train' END AS part FROM p""")
 def virtual_time_folds(t):

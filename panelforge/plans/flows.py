@@ -93,15 +93,17 @@ def sensor_records(t):
 
 
 @query("map_boxes", "S15 F20", """
-SELECT s_nationkey AS feature, min(s_acctbal) AS xmin, max(s_acctbal) AS xmax, min(s_suppkey)::DOUBLE AS ymin, max(s_suppkey)::DOUBLE AS ymax FROM supplier GROUP BY 1""")
+SELECT DISTINCT l_extendedprice - l_linenumber AS xmin, l_extendedprice + l_quantity AS xmax, -l_quantity AS ymin, l_linenumber + 0.5::DOUBLE AS ymax FROM lineitem""",
+       "xmin xmax ymin ymax", digits=3)
 def map_boxes(t):
-    pts = t.supplier.groupBy("s_nationkey").agg(F.collect_list(F.array(F.col("s_acctbal"), F.col("s_suppkey").cast("double"))).alias("p"))
-    geo = pts.select("s_nationkey", F.struct(F.lit("FeatureCollection").alias("type"), F.array(F.struct(F.struct(F.lit("Polygon").alias("type"), F.array("p").alias("coordinates")).alias("geometry"))).alias("features")).alias("g"))
+    """A polygon per line item, written as a map file of one map per line."""
+    x, y, q = F.col("l_extendedprice"), F.col("l_linenumber").cast("double"), F.col("l_quantity")
+    ring = F.array(F.array(x - y, F.lit(0.25)), F.array(x, -q), F.array(x + q, y + 0.5), F.array(x, F.lit(0.0)))
+    shape = F.struct(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
     path = IO.scratch(t.spark, "maps")
-    geo.select("s_nationkey", F.to_json("g").alias("value")).write.partitionBy("s_nationkey").text(path)
-    d = SE.bbox(SE.read_geojson(t.spark, f"{path}/*/*"))
-    key = F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("bigint")
-    return d.select(key.alias("feature"), "xmin", "xmax", "ymin", "ymax")
+    t.lineitem.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(shape).alias("features"))).alias("value")).write.text(path)
+    d = SE.bbox(SE.read_geojson(t.spark, path, lines=True)).select("xmin", "xmax", "ymin", "ymax")
+    return d.select(*[F.round(c, 3).alias(c) for c in d.columns]).distinct()
 
 
 def event_stream(t: Tables):

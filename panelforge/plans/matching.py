@@ -113,8 +113,7 @@ def type_hour_range(t):
 
 
 @query("tax_snapped", "J17", """
-WITH r(v) AS (VALUES (0.0::DOUBLE), (0.025::DOUBLE), (0.08::DOUBLE))
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_min(v, (abs(l_tax - v), v)) AS snapped FROM lineitem, r GROUP BY ALL""", "snapped")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_min(list_transform([0.0::DOUBLE, 0.025, 0.08], lambda v: {'d': abs(l_tax - v), 'v': v})).v AS snapped FROM lineitem""", "snapped")
 def tax_snapped(t):
     return J.snap_nearest(t.lineitem, "l_tax", [0.0, 0.025, 0.08], "snapped").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "snapped")
 

@@ -280,7 +280,7 @@ def event_null_fill(t):
 WITH g AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_custkey END AS a, o_orderstatus AS b, o_totalprice / 1000 AS c, 7 AS d FROM orders)
 SELECT 'a' AS "column", avg(CAST(a IS NULL AS INT)) AS null_rate, count(DISTINCT a) AS "distinct", var_samp(a) AS variance, CAST(min(a) AS DOUBLE) AS min, CAST(max(a) AS DOUBLE) AS max FROM g
 UNION ALL SELECT 'b', 0, count(DISTINCT b), NULL, NULL, NULL FROM g UNION ALL SELECT 'c', 0, count(DISTINCT c), var_samp(c), min(c), max(c) FROM g
-UNION ALL SELECT 'd', 0, count(DISTINCT d), var_samp(d), min(d), max(d) FROM g""", "null_rate variance min max", digits=4)
+UNION ALL SELECT 'd', 0, count(DISTINCT d), var_samp(d), min(d), max(d) FROM g""", "null_rate variance min max")
 def order_column_profile(t):
     g = t.orders.select(F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")).alias("a"), F.col("o_orderstatus").alias("b"), (F.col("o_totalprice") / 1000).alias("c"), F.lit(7).alias("d"))
     return C.column_profile(g)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ordered import listed
@@ -81,13 +82,16 @@ def cached(spark, name, fn: Callable[[], DataFrame], refresh=False) -> DataFrame
         raise ValueError("block names are made of letters, digits and _")
     home = f"{shared_dir(spark)}/blocks/{name}"
     marker = f"{home}/current"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(marker)
-    exists = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{marker}/_SUCCESS"))
-    if refresh or not exists:
+    try:
+        held = None if refresh else spark.read.schema("path string").json(marker).first()
+    except AnalysisException:  # no such block yet
+        held = None
+    if held is None:
         data = f"{home}/{uuid.uuid4().hex}"
         fn().write.parquet(data)
         spark.createDataFrame([(data,)], "path string").coalesce(1).write.mode("overwrite").json(marker)
-    return spark.read.parquet(spark.read.json(marker).first()["path"])
+        return spark.read.parquet(data)
+    return spark.read.parquet(held["path"])
 
 
 def assemble(blocks: dict[str, DataFrame], keys) -> DataFrame:

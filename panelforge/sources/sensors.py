@@ -73,13 +73,14 @@ def read_floor_info(spark: SparkSession, path) -> DataFrame:
     return d.select(F.col("_metadata.file_path").alias("path"), "map_info.height", "map_info.width")
 
 
-def read_geojson(spark: SparkSession, path) -> DataFrame:
+def read_geojson(spark: SparkSession, path, lines=False) -> DataFrame:
     """One row per feature with its index and geometry; the first feature is the floor, the others its stores.
 
-    Coordinates stay JSON text, as their depth depends on the geometry type.
+    A file is one map, or with ``lines`` each line is. Coordinates stay JSON text, as
+    their depth depends on the geometry type.
     """
     shape = "type string, features array<struct<geometry:struct<type:string,coordinates:string>>>"
-    d = spark.read.schema(shape).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.col("type").alias("map_type"), F.posexplode("features").alias("feature", "_f"))
+    d = spark.read.schema(shape).json(path, multiLine=not lines).select(F.col("_metadata.file_path").alias("path"), F.col("type").alias("map_type"), F.posexplode("features").alias("feature", "_f"))
     return d.select("path", "map_type", "feature", F.col("_f.geometry.type").alias("kind"), F.col("_f.geometry.coordinates").alias("coordinates"))
 
 
