@@ -7,7 +7,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .ordered import AUTO, by_key, group_quantiles, listed, point, running, same_keys
+from .ordered import AUTO, attach, by_key, group_quantiles, listed, point, running, same_keys
 from ..functions.scalars import clip, safe_div
 
 
@@ -96,7 +96,7 @@ def content_profile(df, keys, col, name="content"):
         F.count(F.lit(1)).alias("_n"), F.avg(col).alias(f"{name}_avg"), F.stddev_samp(col).alias(f"{name}_std"),
         F.min(col).alias(f"{name}_min"), F.max(col).alias(f"{name}_max"),
     )
-    per = per.join(F.broadcast(total)).withColumn(f"{name}_share", F.col("_n") / F.col("_all")).drop("_n", "_all")
+    per = per.transform(attach, total).withColumn(f"{name}_share", F.col("_n") / F.col("_all")).drop("_n", "_all")
     return same_keys(per, group_quantiles(df, keys, col, [0.5], names=lambda q: f"{name}_median"), keys, "left")
 
 
@@ -166,7 +166,7 @@ def value_counts(df, cols, normalize=False):
     if not normalize:
         return out
     total = out.agg(F.sum("count").alias("_all"))
-    return out.join(F.broadcast(total)).withColumn("share", F.col("count") / F.col("_all")).drop("_all")
+    return out.transform(attach, total).withColumn("share", F.col("count") / F.col("_all")).drop("_all")
 
 
 def count_of_counts(df, keys):
@@ -175,7 +175,7 @@ def count_of_counts(df, keys):
     out = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("keys"))
     out = running(out.withColumn("_all", F.lit(0)), "_all", ["size"], ["keys"], ["sum"], names=lambda c, a: "_cum")
     total = out.groupBy("_all").agg(F.sum("keys").alias("_n"))
-    return out.join(F.broadcast(total), "_all").select("size", "keys", (F.col("_cum") / F.col("_n")).alias("cum_share"))
+    return out.drop("_all").transform(attach, total.select("_n")).select("size", "keys", (F.col("_cum") / F.col("_n")).alias("cum_share"))
 
 
 def nunique_by_month(df, col, ts):
@@ -192,7 +192,7 @@ def recency(df, keys, ts, cap=None):
     last = df.groupBy(*listed(keys)).agg(F.max(F.to_date(ts)).alias("_last"))
     latest = df.agg(F.max(F.to_date(ts)).alias("_latest"))
     days = F.coalesce(F.datediff("_latest", "_last"), F.lit(-1)).cast("bigint")
-    out = last.join(F.broadcast(latest)).withColumn("recency", days if cap is None else clip(days, -1, cap))
+    out = last.transform(attach, latest).withColumn("recency", days if cap is None else clip(days, -1, cap))
     return out.withColumn("recency_scaled", F.col("recency") / F.lit(float(cap or 1))).drop("_last", "_latest")
 
 
@@ -317,7 +317,7 @@ def describe(df, numeric, strings=()):
     for c in listed(numeric):
         q = group_quantiles(df.select(F.lit(c).alias("column"), c), "column", c, [0.25, 0.5, 0.75], names=lambda q: f"q{int(q * 100)}")
         s = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-        parts.append(q.join(F.broadcast(s)))
+        parts.append(q.transform(attach, s))
     for c in listed(strings):
         n = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
         top = n.groupBy("n").agg(F.min(c).alias("v"), F.count(F.lit(1)).alias("k"))

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.scalars import clip, correlation, map_values
-from .ordered import by_key, group_quantiles, listed, point, positions_all, same_keys
+from .ordered import attach, by_key, group_quantiles, listed, point, positions_all, same_keys
 
 
 def fill_null(df, how, cols=None):
@@ -17,7 +17,7 @@ def fill_null(df, how, cols=None):
         return df.fillna(how, subset=cols) if not isinstance(how, dict) else df.fillna(how)
     cols = listed(cols)
     means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])  # one row
-    out = df.join(F.broadcast(means)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols})
+    out = df.transform(attach, means).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols})
     return out.drop(*[f"_m_{c}" for c in cols])
 
 
@@ -100,7 +100,7 @@ def equal_width_bin(df, col, n=None, name="bin"):
     s = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     bins = F.floor(1 + F.log2("_n")) if n is None else F.lit(n)
     at = F.ceil((F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
-    out = df.join(F.broadcast(s))
+    out = df.transform(attach, s)
     return out.withColumn(name, F.least(F.greatest(at, F.lit(1)), bins) - 1).drop("_lo", "_hi", "_n")
 
 
@@ -121,7 +121,7 @@ def label_encode(df, col, fit=None, start=0, keep_null=False, name=None):
     code = F.col("_code")
     if not keep_null:
         last = fitted.agg(F.max("code").alias("_last"))
-        coded = coded.join(F.broadcast(last))
+        coded = coded.transform(attach, last)
         code = F.when(F.col(col).isNull(), F.coalesce(F.col("_last") + 1, F.lit(start))).otherwise(code)
     return coded.withColumn(name or f"{col}_code", code).drop("_code", "_last")
 

@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from .ordered import listed, point, same_keys
+from .ordered import attach, listed, point, same_keys
 from .windows import transform_agg
 
 
@@ -26,7 +26,7 @@ def group_target_stats(df, keysets: dict[str, list[str]], y, entity=None):
 def target_fit(df, col, y, smooth):
     """Smoothed mean per category over all rows, for use on new data, with the overall mean."""
     mean = df.agg(F.avg(y).alias("_m"))
-    per = df.groupBy(col).agg(F.sum(y).alias("_s"), F.count(y).alias("_n")).join(F.broadcast(mean))
+    per = df.groupBy(col).agg(F.sum(y).alias("_s"), F.count(y).alias("_n")).transform(attach, mean)
     return per.select(col, ((F.col("_s") + smooth * F.col("_m")) / (F.col("_n") + smooth)).alias("encoded"), F.col("_m").alias("overall"))
 
 
@@ -42,7 +42,7 @@ def target_encode(df, col, y, fold, smooth=10.0, mode="oof", name=None):
     totals = per_fold.groupBy(col).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     mean = per_fold.agg((F.sum("_s") / F.sum("_n")).alias("_m"))
     rest_s, rest_n = F.col("_ts") - F.coalesce("_s", F.lit(0)), F.col("_tn") - F.col("_n")
-    table = same_keys(per_fold, totals, [col], "inner").join(F.broadcast(mean))
+    table = same_keys(per_fold, totals, [col], "inner").transform(attach, mean)
     table = table.select(col, fold, ((rest_s + smooth * F.col("_m")) / (rest_n + smooth)).alias(name))
     return same_keys(df, table, [col, fold], "left")
 
@@ -51,7 +51,7 @@ def target_apply(df, fitted, col, name=None):
     """Encoding of new data; an unknown category gets the overall mean."""
     name = name or f"{col}_te"
     overall = fitted.agg(F.max("overall").alias("_m"))
-    out = same_keys(df, fitted.select(col, F.col("encoded").alias(name)), [col], "left").join(F.broadcast(overall))
+    out = same_keys(df, fitted.select(col, F.col("encoded").alias(name)), [col], "left").transform(attach, overall)
     return out.withColumn(name, F.coalesce(name, "_m")).drop("_m")
 
 
@@ -85,7 +85,7 @@ def gaussian_encode(df, keys, y, prior_cols=None, precision=1000.0, stat="mean",
     if prior_cols:
         base = df.withColumn("_p", sum((F.col(c) for c in prior_cols), F.lit(0.0)) / len(prior_cols))
     else:
-        base = df.join(F.broadcast(df.agg(F.avg(y).alias("_p"))))
+        base = df.transform(attach, df.agg(F.avg(y).alias("_p")))
     s = base.groupBy(*keys).agg(F.count(y).alias("_n"), F.avg(y).alias("_mu"), F.var_samp(y).alias("_v"), F.avg("_p").alias("_mp"))
     own = F.try_divide(F.col("_n").cast("double"), F.col("_v"))
     total = precision + own

@@ -59,8 +59,8 @@ def band_topk_join(left, right, keys, lid, lt, rt, rid, tol, rank, n, unique=Non
     order = [F.desc_nulls_last(rank), F.col(rid)]
     right = right.withColumn("_cell", F.floor(F.col(rt) / tol))
     sizes = right.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    crowded = sizes.filter(F.col("_c") > dense).select(*keys, "_cell", F.lit(True).alias("_dense"))  # rows / dense at most
-    right = same_keys(right, F.broadcast(crowded), keys + ["_cell"], "left")
+    crowded = sizes.filter(F.col("_c") > dense).select(*keys, "_cell", F.lit(True).alias("_dense"))
+    right = right.join(crowded, keys + ["_cell"], "left")  # no hint: the list grows with the data
     bands = left.select(*keys, lid, F.col(lt).alias("_lt"))
     cell = F.floor(F.col("_lt") / tol)
     bands = bands.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
@@ -68,7 +68,7 @@ def band_topk_join(left, right, keys, lid, lt, rt, rid, tol, rank, n, unique=Non
         "_lo": F.greatest(F.col("_lt") - tol, F.col("_cell") * tol),
         "_hi": F.least(F.col("_lt") + tol + 1, (F.col("_cell") + 1) * tol),
     }).filter(F.col("_lo") < F.col("_hi"))
-    bands = same_keys(bands, F.broadcast(crowded), keys + ["_cell"], "left")
+    bands = bands.join(crowded, keys + ["_cell"], "left")
     own = [c for c in right.columns if c not in keys and not c.startswith("_")]
 
     plain_r = right.filter(F.col("_dense").isNull()).select(*keys, "_cell", *own)
@@ -170,14 +170,27 @@ def cross_keys(df, key, classes: dict[str, list[float]], event="event"):
 
 
 def _match(times, truth, tol):
-    """Detection times, best first; each takes the nearest free truth closer than the tolerance."""
-    free, matched = np.ones(len(truth), bool), []
-    for t in times:
-        gap = np.where(free, np.abs(truth - t), np.inf)
-        i = int(gap.argmin()) if len(gap) else -1
-        matched.append(i >= 0 and gap[i] < tol)
+    """Detection times, best first; each takes the nearest free truth (the earlier of equals) closer than the tolerance.
+
+    ``truth`` is sorted. Links skip the taken ones, so a step takes about log n.
+    """
+    left, right = list(range(len(truth) + 1)), list(range(len(truth) + 1))  # nearest free at or below / above
+
+    def free(links, i):
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    matched = []
+    for t, at in zip(times, np.searchsorted(truth, times, side="right")):
+        lo, hi = free(left, at) - 1, free(right, at)  # left is shifted by one: 0 stands for none
+        gap_lo = t - truth[lo] if lo >= 0 else np.inf
+        gap_hi = truth[hi] - t if hi < len(truth) else np.inf
+        gap, i = (gap_lo, lo) if gap_lo <= gap_hi else (gap_hi, hi)
+        matched.append(gap < tol)
         if matched[-1]:
-            free[i] = False
+            left[i + 1], right[i] = i, i + 1
     return matched
 
 
@@ -206,7 +219,7 @@ def _matched(pdf, ids, tolerance):
     for part in np.split(np.arange(len(pdf)), edges):
         d = part[isd[part]]
         d = d[np.argsort(rank[d])]
-        out[d] = _match(t[d], t[part[~isd[part]]], tol[part[0]])
+        out[d] = _match(t[d], np.sort(t[part[~isd[part]]]), tol[part[0]])
     yield pdf.assign(matched=out)[isd]
 
 

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
-from .ordered import listed, same_keys
+from .ordered import attach, listed, same_keys
 from .cleaning import label_map
 from .reshape import union
 
@@ -29,7 +29,7 @@ def scale_fit(df, cols, how="standard"):
 
 def scale_apply(df, fitted, cols):
     """Scaled columns; a constant column becomes 0."""
-    out = df.join(F.broadcast(fitted))
+    out = df.transform(attach, fitted)
     scaled = {c: (F.col(c) - F.col(f"_c_{c}")) / F.when(F.col(f"_w_{c}") == 0, 1.0).otherwise(F.col(f"_w_{c}")) for c in listed(cols)}
     return out.withColumns(scaled).drop(*[c for c in fitted.columns])
 

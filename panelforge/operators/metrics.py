@@ -8,7 +8,7 @@ from ..functions.scalars import correlation
 from ..session import checkpoint
 from .aggregates import hierarchy_sum, hierarchy_weights, series_scale
 from .joins import cross_keys, greedy_match, in_intervals
-from .ordered import listed, running, running_all, same_keys
+from .ordered import attach, listed, running, running_all, same_keys
 from .reshape import to_intervals
 
 
@@ -73,7 +73,7 @@ def gini_capture(df, y, p, rid, neg_w=20, top=0.04):
     d = d.withColumn("_w", F.when(F.col("_y") == 0, float(neg_w)).otherwise(1.0)).withColumn("_yw", F.col("_y") * F.col("_w"))
     d = running_all(d, ["_o", "_id"], ["_w", "_yw"], ["sum"], names=lambda c, a: f"_c{c}")
     totals = d.agg(F.sum("_w").alias("_all"), F.sum("_yw").alias("_found"), F.sum("_y").alias("_n"), F.sum(1 - F.col("_y")).alias("_m"))
-    d = d.join(F.broadcast(totals))
+    d = d.transform(attach, totals)
     found = F.sum(F.when(F.col("_c_w") <= F.floor(F.lit(top) * F.col("_all")), F.col("_y")).otherwise(0.0))
     gini = F.sum((F.col("_c_yw") / F.col("_found") - F.col("_c_w") / F.col("_all")) * F.col("_w"))
     s = d.groupBy("_all", "_found", "_n", "_m").agg(found.alias("_f"), gini.alias("_g"))

@@ -51,6 +51,12 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def attach(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table, as a scalar subquery; more rows are an error at run time."""
+    held = row.select(F.struct(*row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", held).select(*df.columns, "_row.*")
+
+
 @dataclass
 class Splitters:
     table: DataFrame  # keys, _pts: sorted array of points; at most MAX_SPLITTERS points in all

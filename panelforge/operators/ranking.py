@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, Window as W, functions as F
 
-from .ordered import listed, positions_all, same_keys
+from .ordered import attach, listed, positions_all, same_keys
 
 
 def top_values(df, col, n):
@@ -100,7 +100,7 @@ def negative_samples(pos, user, item, n, popular=None, n_popular=0, seed=0, draw
     def drawn(items, want):
         size = items.agg(F.count(F.lit(1)).alias("_size"))  # one row
         tries = F.least(F.col("_size"), F.lit(want) + F.col("_own"))
-        walk = users.join(F.broadcast(size)).withColumn("_try", F.explode(F.sequence(F.lit(1).cast("bigint"), tries)))
+        walk = users.transform(attach, size).withColumn("_try", F.explode(F.sequence(F.lit(1).cast("bigint"), tries)))
         walk = walk.withColumn("_slot", F.pmod(F.col("_start") + F.col("_try") * F.lit(PRIME), F.col("_size")))
         found = walk.join(items, "_slot").join(own, [user, item], "left_anti")
         return top_rows(found, user, want, F.col("_try")).select(user, item)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import map_values
-from .ordered import listed, positions, same_keys
+from .ordered import attach, listed, positions, same_keys
 
 
 def union(*dfs):
@@ -45,7 +45,7 @@ def extend_horizon(df, keys, step, n):
     """Add n further steps with NULL values after the last step of the table, for every key."""
     keys = listed(keys)
     last = df.agg(F.max(step).alias("_last"))
-    ahead = df.select(*keys).distinct().join(F.broadcast(last))
+    ahead = df.select(*keys).distinct().transform(attach, last)
     ahead = ahead.select(*keys, F.explode(F.sequence(F.col("_last") + 1, F.col("_last") + n)).alias(step))
     return union(df, ahead)
 

@@ -6,7 +6,7 @@ import heapq
 
 from pyspark.sql import Column, functions as F
 
-from .ordered import listed, positions, positions_all, same_keys
+from .ordered import attach, listed, positions, positions_all, same_keys
 from .ranking import uniform
 
 
@@ -70,7 +70,8 @@ def group_fold(df, group, k, strata: Column | None = None, name="fold"):
     kind = sizes.schema["_st"].dataType.simpleString()
     plan = df.sparkSession.createDataFrame(rows, f"_st {kind}, _n bigint, _first array<int>, _turn array<int>")
     at = positions(sizes, ["_st", "_n"], group, "_pos")
-    at = same_keys(at, F.broadcast(plan), ["_st", "_n"], "inner").withColumn("_i", (F.col("_pos") - 1).cast("int"))
+    plan = F.broadcast(plan) if len(rows) <= 100_000 else plan
+    at = same_keys(at, plan, ["_st", "_n"], "inner").withColumn("_i", (F.col("_pos") - 1).cast("int"))
     early = F.size("_first")
     fold = F.when(F.col("_i") < early, F.get("_first", F.col("_i"))).otherwise(F.get("_turn", (F.col("_i") - early) % k))
     return same_keys(df, at.select(*group, fold.alias(name)), group, "left")
@@ -94,7 +95,7 @@ def sliding_split(df, ts, n, test_days=7, train_days=35):
     ``test_days`` of ``test`` begin, so each holds its history and its label days.
     """
     last = df.agg(F.max(F.to_date(ts)).alias("_last"))  # one row
-    out, back = df.join(F.broadcast(last)), F.datediff("_last", F.to_date(ts))
+    out, back = df.transform(attach, last), F.datediff("_last", F.to_date(ts))
     span, windows = train_days + test_days, []
     for i in range(n):
         for part, end in (("test", i * test_days), ("train", (i + 1) * test_days)):
@@ -105,7 +106,7 @@ def sliding_split(df, ts, n, test_days=7, train_days=35):
 def stepped_split(df, ts, n, train_days, test_days):
     """n train/test windows whose starts are spread evenly over the span of the table; starts included."""
     ends = df.agg(F.unix_seconds(F.min(ts).cast("timestamp")).alias("_lo"), F.unix_seconds(F.max(ts).cast("timestamp")).alias("_hi"))
-    out, sec = df.join(F.broadcast(ends)), F.unix_seconds(F.col(ts).cast("timestamp")) - F.col("_lo")
+    out, sec = df.transform(attach, ends), F.unix_seconds(F.col(ts).cast("timestamp")) - F.col("_lo")
     train, test = train_days * 86_400, test_days * 86_400
     step = (F.col("_hi") - F.col("_lo") - (train + test)) / (n - 1)
     windows = []
@@ -130,7 +131,7 @@ def holdout_last(df, step, n, name="part"):
     last = df.agg(F.max(step).alias("_last"))
     is_date = df.schema[step].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
     back = F.datediff("_last", step) if is_date else F.col("_last") - F.col(step)
-    return df.join(F.broadcast(last)).withColumn(name, F.when(back < n, "valid").otherwise("train")).drop("_last")
+    return df.transform(attach, last).withColumn(name, F.when(back < n, "valid").otherwise("train")).drop("_last")
 
 
 def label_window(df, ts, cut, days, keys):
@@ -161,14 +162,14 @@ def virtual_time(df, keys, ts, seed=0, beta=(2.2, 2.3), draw: Column | None = No
     share = beta_draw(uniform(keys, seed), *beta) if draw is None else draw
     last = df.groupBy(*keys).agg(F.max(ts).alias("_own"))
     latest = df.agg(F.max(ts).alias("_all"))
-    moved = last.join(F.broadcast(latest)).select(*keys, F.floor((F.col("_all") - F.col("_own")) * share).alias("_shift"))
+    moved = last.transform(attach, latest).select(*keys, F.floor((F.col("_all") - F.col("_own")) * share).alias("_shift"))
     return same_keys(df, moved, keys, "inner").withColumn(name, F.col(ts) + F.col("_shift")).drop("_shift")
 
 
 def tail_folds(df, order, n_eval, n_valid, k, name="part"):
     """The last rows in order as ``eval``, the k blocks before them as ``valid_0``.. (latest first), the rest as ``train``."""
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    out = positions_all(df, order, "_pos").join(F.broadcast(total)).withColumn("_back", F.col("_n") - F.col("_pos"))
+    out = positions_all(df, order, "_pos").transform(attach, total).withColumn("_back", F.col("_n") - F.col("_pos"))
     block = F.floor((F.col("_back") - n_eval) / n_valid)
     part = F.when(F.col("_back") < n_eval, "eval").when(block < k, F.concat(F.lit("valid_"), block.cast("string"))).otherwise("train")
     return out.withColumn(name, part).drop("_pos", "_n", "_back")

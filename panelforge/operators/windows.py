@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, Window as W, functions as F
 
-from .ordered import AUTO, Step, fill, listed, positions, running, same_keys, splitters, windowed
+from .ordered import AUTO, Step, attach, fill, listed, positions, running, same_keys, splitters, windowed
 from ..functions.scalars import clip, correlation, frac_part, int_part
 
 
@@ -332,14 +332,14 @@ def decay_weight(df, step, keep, rate=0.0005, name="weight"):
     last = df.agg(F.max(step).alias("_last"))  # one row
     back = F.col("_last") - F.col(step)
     weight = F.when(back < keep, 1.0).otherwise(1.0 - rate * (back - keep + 1))
-    return df.join(F.broadcast(last)).withColumn(name, weight).drop("_last")
+    return df.transform(attach, last).withColumn(name, weight).drop("_last")
 
 
 def weeks_before_latest(df, ts, name="week"):
     """Whole weeks before the latest day, from 1, and that number over its maximum."""
     ends = df.agg(F.max(F.to_date(ts)).alias("_hi"), F.min(F.to_date(ts)).alias("_lo"))
     week = lambda d: F.floor(F.datediff("_hi", d) / 7) + 1
-    out = df.join(F.broadcast(ends))
+    out = df.transform(attach, ends)
     return out.withColumn(name, week(F.to_date(ts))).withColumn(f"{name}_scaled", F.col(name) / week("_lo")).drop("_hi", "_lo")
 
 

@@ -48,7 +48,7 @@ def customer_lists(t):
     lists = K.topk_list(s, "o_custkey", "q", "l_partkey", 4, "by_quantity").join(K.topk_list(s, "o_custkey", "c", "l_partkey", 4, "by_count"), "o_custkey")
     top = K.topk_list(K.top_values(b, "l_partkey", 6).withColumn("one", F.lit(1)), "one", "count", "l_partkey", 6, "top").drop("one")
     all_votes = K.vote_lists(["by_quantity", "by_count"], [3, 1], 100)
-    out = lists.join(F.broadcast(top)).withColumn("v", all_votes)
+    out = lists.transform(O.attach, top).withColumn("v", all_votes)
     return out.select("o_custkey", "by_quantity", "by_count", F.slice("v", 1, 5).alias("voted"), K.fallback_list(F.col("v"), F.col("top"), 8).alias("filled"))
 
 

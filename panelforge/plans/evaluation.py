@@ -220,7 +220,7 @@ def error_metrics(t):
     parts = [M.rmse(r, "y", "p"), M.mcrmse(r, [("y", "p"), ("w", "p")]), M.rmsle(r, "y", "p", "w"), M.smape(r, "y", "p"), M.mse(r, "y", "p"), M.log_loss(scored(t), "quality", "p")]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # one row each
+        out = out.transform(O.attach, p)
     return out
 
 
@@ -253,7 +253,7 @@ def map_at_12(t):
 def _monthly(t):
     s = sales(t).withColumn("step", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint"))
     last = s.agg(F.max("step").alias("last"))
-    return s.join(F.broadcast(last)).withColumn("p", F.round(F.col("l_quantity") * 0.9, 0))
+    return s.transform(O.attach, last).withColumn("p", F.round(F.col("l_quantity") * 0.9, 0))
 
 
 _KEY = ", ".join(["level", *DIMS])

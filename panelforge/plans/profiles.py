@@ -190,7 +190,7 @@ WITH {SALES}, recent AS (SELECT * FROM sales WHERE l_shipdate > (SELECT max(l_sh
 SELECT level, {', '.join(DIMS)}, v / sum(v) OVER (PARTITION BY level) / 12 AS weight FROM u""", "weight", digits=9)
 def sales_hierarchy_weights(t):
     last = t.lineitem.agg(F.max("l_shipdate").alias("last"))
-    recent = sales(t).join(F.broadcast(last)).filter(F.col("l_shipdate") > F.col("last") - F.expr("INTERVAL 28 DAYS"))
+    recent = sales(t).transform(O.attach, last).filter(F.col("l_shipdate") > F.col("last") - F.expr("INTERVAL 28 DAYS"))
     return A.hierarchy_weights(recent, LEVELS, "l_quantity")
 
 

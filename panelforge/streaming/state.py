@@ -85,8 +85,9 @@ class _History(_Keyed):
         for k in self.ns:
             full = total > k
             vals = np.full(len(out), np.nan)
-            for i in np.flatnonzero(full):
-                vals[i] = seen[ends[i] - k:ends[i]].mean()
+            if full.any():
+                means_k = np.lib.stride_tricks.sliding_window_view(seen, k).mean(axis=1)
+                vals[full] = means_k[ends[full] - k]
             out[f"past_avg_{k}"] = vals
         t = pdf[self.time].to_numpy(np.int64)[asks]
         clock = np.concatenate([np.asarray(times, np.int64), t])
