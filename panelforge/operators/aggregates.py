@@ -233,8 +233,12 @@ def hierarchy_weights(df, levels, value):
 def series_scale(df, keys, order, col, split=AUTO):
     """Mean squared step of a series from its first non-zero value on."""
     keys, order = listed(keys), listed(order)
-    first = df.groupBy(*keys).agg(F.min(F.when(F.col(col) != 0, point(order))).alias("_first"))
-    live = same_keys(df, first, keys, "inner").filter(point(order) >= F.col("_first")).drop("_first")
+    first = F.min(F.when(F.col(col) != 0, point(order)))
+    if split is None:  # small keys: the window shares the sort key of the steps
+        live = df.withColumn("_first", first.over(W.partitionBy(*keys)))
+    else:
+        live = same_keys(df, df.groupBy(*keys).agg(first.alias("_first")), keys, "inner")
+    live = live.filter(point(order) >= F.col("_first")).drop("_first")
 
     def step(d, ks):
         return d.withColumn("_d", F.col(col) - F.lag(col).over(W.partitionBy(*ks).orderBy(*order)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import correlation
-from ..session import checkpoint
+from ..session import stored
 from .aggregates import hierarchy_sum, hierarchy_weights, series_scale
 from .joins import cross_keys, greedy_match, in_intervals
 from .ordered import attach, listed, running, running_all, same_keys
@@ -119,11 +119,11 @@ def event_ap_table(truth, dets, tolerances, video="video_id", time="time", event
     """
     iv = to_intervals(truth, video, [time], event, time)
     facts = truth.filter(~F.col(event).isin("start", "end")).select(video, event, time)
-    dets = checkpoint(in_intervals(dets, iv, video, time, did))
+    dets = stored(in_intervals(dets, iv, video, time, did))
     grid = cross_keys(facts, video, tolerances, event)
     t = facts.join(grid, [video, event])
     d = dets.join(grid, [video, event])
-    matched = checkpoint(greedy_match(t, d, [video, event], time, score, did))
+    matched = stored(greedy_match(t, d, [video, event], time, score, did))
     return pr_area(matched, [event, "tolerance"], "matched", score, facts.groupBy(event).agg(F.count(F.lit(1)).alias("_p")))
 
 

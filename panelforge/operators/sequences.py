@@ -128,3 +128,16 @@ def group_sizes(df, keys):
     """Rows per query group in key order."""
     keys = listed(keys)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).orderBy(*keys)
+
+
+def apply_by_key(df, keys, order, fn, schema, rows=CHUNK, split=AUTO):
+    """Run ``fn(pandas frame) -> pandas frame`` over each key's rows in order, in pieces of at most ``rows``.
+
+    For work no expression covers. A key longer than ``rows`` is handed over in
+    several calls, so no call holds an unbounded group.
+    """
+    keys, order = listed(keys), listed(order)
+    d = positions(df, keys, order, "_pos", split)
+    d = d.withColumn("_piece", F.floor((F.col("_pos") - 1) / rows)).drop("_pos")
+    run = lambda pdf: fn(pdf.drop(columns="_piece").sort_values(order, kind="stable"))
+    return d.groupBy(*keys, "_piece").applyInPandas(run, schema)

@@ -263,3 +263,12 @@ def vector_cosine(t):
 SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1""")
 def customer_group_sizes(t):
     return Q.group_sizes(t.orders, "o_custkey")
+
+
+@query("user_piece_means", "U3", f"""
+WITH {EV}, r AS (SELECT user_id, event_id, value, (row_number() OVER ({W_EV}) - 1) // 25 AS piece FROM ev)
+SELECT user_id, event_id, value - avg(value) OVER (PARTITION BY user_id, piece) AS off FROM r""", "off")
+def user_piece_means(t):
+    off = lambda pdf: pdf.assign(off=pdf["value"] - pdf["value"].mean())[["user_id", "event_id", "off"]]
+    e = log(t).select("user_id", "us", "event_id", "value")
+    return Q.apply_by_key(e, U, UO, off, "user_id bigint, event_id bigint, off double", 25)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import encoding as E, metrics as M, ordered as O, ranking as K, splitting as V
+from ..session import stored
 from .catalog import Tables, query
 from .panel import EV, log
 from .profiles import DIMS, LEVELS, SALES, level_union, sales
@@ -251,9 +252,12 @@ def map_at_12(t):
 
 
 def _monthly(t):
-    s = sales(t).withColumn("step", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint"))
-    last = s.agg(F.max("step").alias("last"))
-    return s.transform(O.attach, last).withColumn("p", F.round(F.col("l_quantity") * 0.9, 0))
+    """Sales per level columns and month, stored once for the three tables made from it, and the last month."""
+    step = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint")
+    last = t.lineitem.agg(F.max(step).alias("last"))
+    fine = sales(t).groupBy(*DIMS, step.alias("step")).agg(
+        F.sum("l_quantity").alias("l_quantity"), F.sum(F.round(F.col("l_quantity") * 0.9, 0)).alias("p"), F.sum(F.col("l_extendedprice") / 1000).alias("value"))
+    return stored(fine).transform(O.attach, last)
 
 
 _KEY = ", ".join(["level", *DIMS])
@@ -272,8 +276,7 @@ SELECT er.level, sum(sqrt(mse / CASE WHEN coalesce(scale, 0) <> 0 THEN scale ELS
 def wrmsse_levels(t):
     s = _monthly(t)
     train, valid = s.filter("step <= last - 3"), s.filter("step > last - 3")
-    revenue = train.withColumn("value", F.col("l_extendedprice") / 1000)
-    d = M.wrmsse_table(train, valid, LEVELS, "step", "l_quantity", "p", revenue)
+    d = M.wrmsse_table(train, valid, LEVELS, "step", "l_quantity", "p", train)
     return d.groupBy("level").agg(F.sum(F.col("rmsse") * F.col("weight")).alias("score"), F.count(F.lit(1)).alias("series"))
 
 

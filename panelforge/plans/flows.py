@@ -20,6 +20,17 @@ def csv_round_trip(t):
     return IO.convert(t.spark, f"{src}/*.csv", dst, "o_orderkey bigint, o_custkey int, o_orderstatus string, o_totalprice double, flag boolean")
 
 
+@query("stored_tables", "S9 S10", """
+WITH c AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice / 1000) AS total FROM orders GROUP BY 1)
+SELECT n, count(*) AS customers, avg(total) AS mean_total FROM c GROUP BY 1""", "mean_total")
+def stored_tables(t):
+    """Two steps of SQL, each stored as a table that the next one reads."""
+    per = IO.run_sql(t.spark, "SELECT o_custkey, count(*) AS n, sum(o_totalprice / 1000) AS total FROM {o} GROUP BY 1", {"o": t.orders},
+                     "customer_totals", IO.scratch(t.spark, "customer_totals"))
+    return IO.run_sql(t.spark, "SELECT n, count(*) AS customers, avg(total) AS mean_total FROM {p} GROUP BY 1", {"p": per},
+                      "total_counts", IO.scratch(t.spark, "total_counts"))
+
+
 @query("yearly_files", "S4", """
 SELECT o_custkey AS key, y AS year, count(o_orderkey) FILTER (year(o_orderdate) = y)::DOUBLE AS n FROM orders, (VALUES (1996), (1997)) v(y) GROUP BY 1, 2
 UNION ALL SELECT DISTINCT o_custkey, 1998, NULL FROM orders""", ints="year")

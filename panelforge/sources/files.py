@@ -60,16 +60,17 @@ def write_folds(df, fold, path, part=None):
     df.write.mode("overwrite").partitionBy(*[c for c in (fold, part) if c]).parquet(path)
 
 
-def materialize(df, name, mode="overwrite") -> DataFrame:
-    """Write a query's result as a table of the catalog, replacing it."""
-    df.write.mode(mode).saveAsTable(name)
+def materialize(df, name, path=None, mode="overwrite") -> DataFrame:
+    """Write a query's result as a table of the catalog, replacing it; ``path`` puts its files there."""
+    writer = df.write.mode(mode) if path is None else df.write.mode(mode).option("path", path)
+    writer.saveAsTable(name)
     return df.sparkSession.table(name)
 
 
-def run_sql(spark, text, views: dict[str, DataFrame], into: str | None = None) -> DataFrame:
+def run_sql(spark, text, views: dict[str, DataFrame], into: str | None = None, path=None) -> DataFrame:
     """Run SQL over named tables; ``into`` stores the result as a table."""
     out = spark.sql(text, **views)
-    return out if into is None else materialize(out, into)
+    return out if into is None else materialize(out, into, path)
 
 
 def cached(spark, name, fn: Callable[[], DataFrame], refresh=False) -> DataFrame:
