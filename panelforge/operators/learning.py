@@ -81,9 +81,12 @@ def topics(df, cols, k, seed=0, iterations=10, name="topics"):
     return model.transform(d).withColumn(name, vector_to_array("_mix")).drop("_mix", "_vec")
 
 
-def nmf(df, row, col, value, k, seed=0, iterations=10):
-    """Non-negative factors of a sparse matrix given as (row, column, value): row factors and column factors."""
-    als = ALS(rank=k, nonnegative=True, userCol=row, itemCol=col, ratingCol=value, seed=seed, maxIter=iterations)
+def nmf(df, row, col, value, k, seed=0, iterations=10, reg=1e-4):
+    """Non-negative factors of a matrix given as (row, column, value): row factors and column factors.
+
+    A cell that is not given is unknown, so zeros that should count must be rows.
+    """
+    als = ALS(rank=k, nonnegative=True, userCol=row, itemCol=col, ratingCol=value, seed=seed, maxIter=iterations, regParam=reg)
     model = als.fit(df.select(F.col(row).cast("int"), F.col(col).cast("int"), F.col(value).cast("float")))
     return model.userFactors, model.itemFactors
 

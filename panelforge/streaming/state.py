@@ -69,7 +69,8 @@ class _History(_Keyed):
     def step(self, key, pdf):
         n, mean, m2, tail, times = self.state.get() or (0, 0.0, 0.0, [], [])
         late = pdf[self.answer].to_numpy(bool) if self.answer else None
-        learns = np.ones(len(pdf), bool) if late is None else late  # rows that add a value
+        known = pdf[self.value].notna().to_numpy()
+        learns = known if late is None else late & known  # rows that add a value
         asks = np.ones(len(pdf), bool) if late is None else ~late  # rows that want features
         x = pdf[self.value].to_numpy(float)[learns]
         before = np.cumsum(learns) - learns  # values learnt earlier in this batch
