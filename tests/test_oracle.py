@@ -4,10 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
-from panelforge.plans import OPERATORS
+from panelforge.plans import OPERATORS, ORACLE, QUERIES
 
 PATH = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
