@@ -1,4 +1,4 @@
 """Operators for preparing training text, one module each, with their registered queries."""
 
 from .registry import ORACLE, QUERIES  # noqa: F401
-from . import sharding, quality_rules, line_dedup, secret_scan, url_filter  # noqa: F401
+from . import decontaminate, line_dedup, packing, quality_rules, secret_scan, sharding, url_filter  # noqa: F401
