@@ -1,4 +1,6 @@
 """Operators for preparing training text, one module each, with their registered queries."""
 
 from .registry import ORACLE, QUERIES  # noqa: F401
-from . import decontaminate, jaccard_join, line_dedup, packing, quality_rules, secret_scan, sharding, url_filter  # noqa: F401
+from . import (  # noqa: F401
+    chat, decontaminate, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, url_filter,
+)  # noqa: F401
