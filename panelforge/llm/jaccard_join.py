@@ -9,10 +9,16 @@ further test that a candidate pair must pass before its sets are compared in ful
   lowest hashes; only their counts are needed, as a prefix is shorter than that. Counts come from one exchange
   of packed arrays, cut by hash. A shingle that a bounded sample shows to be frequent is not counted: it goes
   after all counted ones. Any list of frequent shingles gives the same links; it steers balance only.
-* Classes whose prefix has only shingles of their own drop out: with rare shingles first, most do.
-* Candidates are made in two rounds, so a large group of near copies does not meet itself in pairs: each class
-  meets one class of each of its buckets; verified links give components; then only pairs of a bucket that
-  are still in different components are compared. Every link either joins two components or lies inside one.
+* Classes whose prefix has only shingles of their own drop out: with rare shingles first, most do. The texts of
+  the others are read again, and the second order, (frequent, number of classes left, hash) over whole sets,
+  makes an index in the same way. Further orders are scrambles of the hash, frequent shingles last.
+* Candidates share a prefix shingle in the index, in the first order and in each further order, before their
+  sets are compared. They are made in two rounds, so a large group of near copies does not meet itself in pairs.
+  First each class meets one class of each of its buckets, the one with the fewest shingles before the shared
+  one: in a group of near copies the least changed. Verified links give components. Then only classes outside a
+  bucket's largest component meet the classes of its other components. A link joins two components or lies in one.
+* A class whose shared shingle stands at place i of n can reach the similarity only with sets of at most
+  (n - i) (100 + t) / t - n shingles; rows without such a partner in their bucket are left out before pairing.
 
 Shingles and sets are 64-bit hashes. A wrong link takes two colliding ones: about 2 ** -64 for each pair compared.
 """
@@ -31,6 +37,7 @@ from pyspark.sql.functions import arrow_udf
 
 from panelforge.session import stored
 
+from .bitmaps import perhaps_in
 from .components import components
 from .registry import query, table
 from .texts import coded_words, free_name, slices
@@ -150,9 +157,9 @@ def _first_order(words: int, near: int, held):
     return arrow_udf(run, FIRST).asNondeterministic()
 
 
-def _packed(parts: int):
-    """Rows (part, tokens, fps): the counted front shingles cut by hash; copies within a task are left out."""
-    width = int(FRONT * 2**64) // parts + 1
+def _packed(parts: int, share: float):
+    """Rows (part, tokens, fps): the counted shingles cut by hash; copies of a set within a task are left out."""
+    width = min(int(share * 2**64) // parts + 1, 2**64 - 1)
 
     def emit(tokens: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
         token = np.concatenate(tokens)
@@ -200,15 +207,15 @@ def _counted(group: pa.Table) -> pa.Table:
     return pa.table({"fp": pa.array(fp[many]), "token": pa.array(_signed(token[many])), "df": pa.array(df[many].astype(np.int64))})
 
 
-def _indexer(near: int):
-    """(fp, n, token, place): the shared shingles in the prefix of the first order, for each class with any."""
+def _indexer(near: int, share: float):
+    """(fp, n, token, place): the shared shingles in the prefix, for each class with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, ns, tokens, places = [], [], [], []
             for fp, n, n_front, rest, shared in zip(*[batch.column(c).to_pylist() for c in ("fp", "n", "n_front", "rest", "shared")]):
                 rest = np.frombuffer(rest, np.int64)
-                often = int(np.sum(rest.view(np.uint64) < np.uint64(int(FRONT * 2**64))))
+                often = int(np.sum(rest.view(np.uint64) < np.uint64(int(share * 2**64)))) if share < 1 else len(rest)
                 own = n_front - often - len(shared)  # front shingles of this class alone come first
                 ranked = [t for _, t in sorted((s["df"], s["token"]) for s in shared)] + rest.tolist()
                 mine = ranked[: max(0, prefix_size(n, near) - own)]
@@ -221,8 +228,32 @@ def _indexer(near: int):
     return run
 
 
+def _index(sets: DataFrame, share: float, near: int) -> DataFrame:
+    """Index rows (fp, n, token, place, head) of the buckets that two classes or more are in.
+
+    ``sets``: fp, n, n_front (shingles among the first ``share`` of all hashes), front (those that are counted)
+    and rest (frequent ones, and later ones that the prefix may need). ``head`` is the class of a bucket with
+    the lowest place.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.length("front")), F.lit(0))).first()[0] // 8
+    parts = max(1, math.ceil(total / PART_SHINGLES))
+    packed = sets.select("fp", "front").mapInArrow(_packed(parts, share), "part bigint, tokens binary, fps binary")
+    shared = packed.groupBy("part").applyInArrow(_counted, "fp bigint, token bigint, df bigint")
+    by_class = shared.groupBy("fp").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    # a class can go on only if it has a shared or frequent shingle, or a prefix that leaves the front
+    one = sets.groupBy("fp").agg(F.min(F.struct("n", "n_front", "rest")).alias("x")).select("fp", "x.*")
+    met = one.join(by_class, "fp", "left").filter((F.length("rest") > 0) | F.col("shared").isNotNull())
+    empty = F.array().cast("array<struct<df:bigint,token:bigint>>")
+    ready = met.select("fp", "n", "n_front", "rest", F.coalesce("shared", empty).alias("shared"))
+    rows = stored(ready.mapInArrow(_indexer(near, share), "fp bigint, n bigint, token bigint, place bigint"))
+    head = F.min(F.struct("place", F.xxhash64("fp").alias("h"), "fp", "n")).alias("head")
+    crowd = rows.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), head).filter("lo < hi")
+    return stored(rows.join(crowd.select("token", "head"), "token"))
+
+
 SETS = T.StructType([
-    T.StructField("fp", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("prefixes", T.ArrayType(T.ArrayType(T.LongType()))),
+    T.StructField("fp", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("front", T.BinaryType()), T.StructField("rest", T.BinaryType()),
+    T.StructField("prefixes", T.ArrayType(T.ArrayType(T.LongType()))),
 ])
 
 
@@ -231,10 +262,14 @@ def _set_reader(words: int, near: int, orders: int, held):
         frequent = held.value
         for texts in batches:
             sets = list(shingle_sets(texts, words))
-            later = [[_signed(np.sort(later_prefix(s, k, frequent, near))) for k in range(1, orders)] for s in sets]
+            often = [_among(s, frequent) for s in sets]
+            later = [[_signed(np.sort(later_prefix(s, k, frequent, near))) for k in range(2, orders)] for s in sets]
             yield pa.StructArray.from_arrays(
-                [pa.array([_fingerprint(s) for s in sets], pa.int64()), _binary(sets), pa.array(later, pa.list_(pa.list_(pa.int64())))],
-                ["fp", "tokens", "prefixes"],
+                [
+                    pa.array([_fingerprint(s) for s in sets], pa.int64()), _binary(sets), _binary([s[~o] for s, o in zip(sets, often)]),
+                    _binary([s[o] for s, o in zip(sets, often)]), pa.array(later, pa.list_(pa.list_(pa.int64()))),
+                ],
+                ["fp", "tokens", "front", "rest", "prefixes"],
             )
 
     return arrow_udf(run, SETS).asNondeterministic()
@@ -248,7 +283,10 @@ def _common(left: pa.Array, right: pa.Array) -> pa.Array:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, near: int, orders: int) -> DataFrame:
-    """Pairs (a, b) of classes that pass the further orders and then the full comparison."""
+    """Pairs (a, b) of classes that pass the other orders and then the full comparison.
+
+    ``sets``: fp, n, tokens and the prefixes under the orders other than that of the index.
+    """
     def of(side):
         return sets.select(F.col("fp").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "tokens", "prefixes")])
 
@@ -276,53 +314,44 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     Classes are fingerprints of equal sets. Rows without words have n_shingles 0 and a class that has no links.
     """
-    if not 50 <= near <= 100 or words < 1 or orders < 1:
-        raise ValueError("near from 50 to 100, at least one word and one order")
+    if not 67 <= near <= 100 or words < 1 or orders < 2:
+        raise ValueError("near from 67 to 100 (a prefix has to fit in the front), at least one word and two orders")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("key"), body.alias("text"), F.xxhash64(F.col(f"`{key}`"), body).alias("loc"))
     held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows.select("loc", "text"), words))
     first = stored(rows.withColumn("x", _first_order(words, near, held)("text")).select("key", "loc", "x.*"))
     full = first.filter("n > 0")
 
-    total = first.agg(F.coalesce(F.sum(F.length("front")), F.lit(0))).first()[0] // 8
-    parts = max(1, math.ceil(total / PART_SHINGLES))
-    packed = full.select("fp", "front").mapInArrow(_packed(parts), "part bigint, tokens binary, fps binary")
-    shared = packed.groupBy("part").applyInArrow(_counted, "fp bigint, token bigint, df bigint")
-    by_class = shared.groupBy("fp").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-    # a class can go on only if it has a shared or frequent shingle, or a prefix that leaves the front
-    one = full.groupBy("fp").agg(F.min(F.struct("loc", "n", "n_front", "rest")).alias("x")).select("fp", "x.*")
-    met = one.join(by_class, "fp", "left").filter((F.length("rest") > 0) | F.col("shared").isNotNull())
-    empty = F.array().cast("array<struct<df:bigint,token:bigint>>")
-    ready = met.select("fp", "n", "n_front", "rest", F.coalesce("shared", empty).alias("shared"))
-    index = stored(ready.mapInArrow(_indexer(near), "fp bigint, n bigint, token bigint, place bigint"))
-    crowd = index.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp", "n")).alias("head"))
-    crowd = crowd.filter("lo < hi")
-    index = stored(index.join(crowd.select("token", "head"), "token"))
-
-    alive = index.select("fp").distinct().join(one.select("fp", "loc", "n"), "fp")
-    texts = rows.select("loc", "text").join(alive.select("loc"), "loc", "left_semi").groupBy("loc").agg(F.first("text").alias("text"))
+    before = _index(full.select("fp", "n", "n_front", "front", "rest"), FRONT, near)
+    one = full.groupBy("fp").agg(F.min(F.struct("loc", "n")).alias("x")).select("fp", "x.*")
+    alive = stored(before.groupBy("fp").agg(F.collect_list("token").alias("own")).join(one, "fp"))
+    likely = perhaps_in(rows.select("loc", "text"), alive, "loc", "likely").filter("likely")
+    texts = likely.join(alive.select("loc"), "loc", "left_semi").groupBy("loc").agg(F.first("text").alias("text"))
     read = texts.select(_set_reader(words, near, orders, held)("text").alias("x")).select("x.*")
-    sets = stored(alive.select("fp", "n").join(read.dropDuplicates(["fp"]), "fp"))
+    prefixes = F.concat(F.array("own"), F.col("prefixes")).alias("prefixes")
+    sets = stored(alive.select("fp", "n", "own").join(read.dropDuplicates(["fp"]), "fp").select("fp", "n", "tokens", "front", "rest", prefixes))
+    index = _index(sets.select("fp", "n", F.col("n").alias("n_front"), "front", "rest"), 1.0, near)
 
     stars = index.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("head.fp").alias("b"), F.col("head.n").alias("b_n"))
     stars = stars.filter((F.col("a") != F.col("b")) & _lengths(near)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near_stars = stored(_verified(stars, sets, near, orders))
     tied = components(near_stars)
 
+    most = F.expr(f"(n - place) * {OUT_OF + near} div {near} - n")
     placed = index.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "token", "fp", "n", "place", F.coalesce("component", "fp").alias("component"))
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    open_rows = stored(placed.join(split, "token"))
-    group = open_rows.select("token", "component").distinct()
-    both = group.select("token", F.col("component").alias("ca")).join(group.select("token", F.col("component").alias("cb")), "token").filter("ca < cb")
-
-    def side(s):
-        return open_rows.select("token", F.col("component").alias(f"c{s}"), F.col("fp").alias(s), F.col("n").alias(f"{s}_n"), F.col("place").alias(f"{s}_at"))
-
-    # what follows the first shared token bounds how much two sets share
-    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    enough = most * (OUT_OF + near) >= (F.col("a_n") + F.col("b_n")) * near
-    pairs = both.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).filter(_lengths(near) & enough)
+        "token", "fp", "n", F.coalesce("component", "fp").alias("component"), most.alias("most"))
+    held_by = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("most").alias("most"))
+    buckets = held_by.groupBy("token").agg(
+        F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("c", "component")).alias("largest"), F.min("least").alias("least"), F.max("most").alias("widest"))
+    fits = (F.col("most") >= F.col("least")) & (F.col("n") <= F.col("widest"))
+    open_rows = stored(placed.join(buckets.filter("components > 1"), "token").filter(fits))
+
+    def side(s, rows, *more):
+        return rows.select("token", F.col("fp").alias(s), F.col("n").alias(f"{s}_n"), F.col("most").alias(f"{s}_most"), F.col("component").alias(f"{s}_in"), *more)
+
+    reach = (F.col("a_n") <= F.col("b_most")) & (F.col("b_n") <= F.col("a_most"))
+    once = (F.col("b_in") == F.col("largest")) | (F.col("a") < F.col("b"))
+    pairs = side("a", open_rows.filter("component <> largest"), "largest").join(side("b", open_rows), "token").filter((F.col("a_in") != F.col("b_in")) & once & reach & _lengths(near))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = near_stars.unionByName(stored(_verified(pairs, sets, near, orders)))
     return first.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("fp").alias("class")), links
@@ -347,19 +376,25 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, near: int = NEAR, orders: int = ORDERS) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest key; columns unchanged.
 
-    Rows without words are all kept. Of repeated rows with the smallest key one stays; a group whose keys are
-    all NULL keeps one row.
+    Rows without words are all kept. A group whose keys are all NULL keeps one row, and of repeated rows with
+    the smallest key one stays; rows equal in key and text are told apart by their place in ``docs``, so a
+    table that has such rows must be one read from files, which gives the same places each time.
+
+    Rows to drop are few, so a bitmap of fixed size lets most rows pass without a shuffle of their texts.
     """
-    at = free_name(docs, "row_at")
-    numbered = stored(docs.withColumn(at, F.monotonically_increasing_id()))
-    order = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.col(at).alias("at"))
-    named = numbered.select(order.alias("row"), F.col(f"`{text}`").alias("text"))
-    members, links = classes(named, "row", "text", words, near, orders)
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    loc, at, hit = (free_name(docs, x) for x in ("loc", "row_at", "perhaps"))
+    placed = docs.withColumns({loc: F.xxhash64(F.col(f"`{key}`"), body), at: F.monotonically_increasing_id()})
+    order = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.col(loc).alias("loc"), F.col(at).alias("at"))
+    members, links = classes(placed.select(order.alias("row"), F.col(f"`{text}`").alias("text")), "row", "text", words, near, orders)
     tied = components(links).select(F.col("node").alias("class"), "component")
-    placed = members.join(tied, "class", "left").filter("n_shingles > 0")
-    kept = placed.groupBy(F.coalesce("component", "class").alias("root")).agg(F.min("row").alias("row"))
-    stay = kept.select("row.at").unionByName(members.filter("n_shingles = 0").select("row.at"))
-    return numbered.join(stay.withColumnRenamed("at", at), at, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rooted = members.filter("n_shingles > 0").join(tied, "class", "left").select("row", F.coalesce("component", "class").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("row").alias("kept"))
+    gone = stored(rooted.join(kept, "root").filter("row <> kept").select(F.col("row.loc").alias("gone"), F.col("row.at").alias("gone_at"), (F.col("row.loc") == F.col("kept.loc")).alias("twin")))
+    marked = perhaps_in(placed, gone.select(F.col("gone").alias(loc)), loc, hit)
+    same = (F.col(loc) == F.col("gone")) & (~F.col("twin") | (F.col(at) == F.col("gone_at")))
+    stay = marked.filter(~F.col(hit)).unionByName(marked.filter(hit).join(gone, same, "left_anti"))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 OP4_SQL = r"""
