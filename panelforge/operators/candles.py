@@ -1,16 +1,18 @@
 """Price-bar indicators per asset, ordered by time.
 
-The smoothers weigh old rows less and less. A weight that no longer shows in a
-double ends the reach, so every indicator looks a fixed number of rows back.
+The smoothers weigh old rows less and less. A weight that a double holds as 0 ends the reach, so smoothing
+looks a fixed number of rows back; which value is a key's n-th is counted over its whole past.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window as W, functions as F
 
 from ..functions.scalars import div0
-from .ordered import Step, by_key, running, windowed
-from .windows import decayed_sums, memory
+from .ordered import Step, by_key, held, running, windowed
+from .windows import decay_reach, decayed_sums
 
 
 def _w(ks, order):
@@ -119,8 +121,8 @@ def mfi(order, n=14):
 
 def _smooth(d, pairs: dict[str, str], n: int, ks, order, first: Column):
     """Recursive smoothing of period n: the mean of the first n values, then
-    s x (n-1)/n + x/n. ``first`` counts the key's values up to the row; past n its
-    exact value is not used. ``pairs`` maps the result to its input.
+    s x (n-1)/n + x/n. ``first`` counts the key's values up to the row, over its whole
+    past. ``pairs`` maps the result to its input.
     """
     seed = lambda c: F.sum(c).over(_w(ks, order).rowsBetween(-(n - 1), 0))
     entry = lambda c: F.when(first == n, seed(c) / n).when(first > n, F.col(c) / n)
@@ -128,28 +130,44 @@ def _smooth(d, pairs: dict[str, str], n: int, ks, order, first: Column):
     return d.withColumns({out: F.when(first >= n, F.col(out)) for out in pairs})
 
 
-def _count(col, ks, order, reach):
-    """Values of the column up to this row, counted over the reach only."""
-    return F.count(col).over(_w(ks, order).rowsBetween(-reach, 0))
+def _counted(order, *rounds: dict[str, Callable]):
+    """A ``prepare`` that adds running counts of the non-NULL values of expressions over all rows so far.
+
+    Each round maps names to ``expr(window)``, which may look one row back and use the names of earlier rounds.
+    """
+    def prepare(df, keys, split):
+        for exprs in rounds:
+            parts = {f"_c{n}": e for n, e in exprs.items()}
+            df = held(by_key(df, keys, order, lambda d, ks, p=parts: d.withColumns({n: e(_w(ks, order)) for n, e in p.items()}), before=1, split=split), split)
+            df = held(running(df, keys, order, list(parts), ["count"], split=split, names=lambda c, a: c[2:]).drop(*parts), split)
+        return df
+
+    return prepare
+
+
+def _range(w):
+    """True range; NULL on the first row."""
+    prev = F.lag("close").over(w)
+    return F.when(prev.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
 
 
 @windowed
 def rsi(order, col="close", n=14):
     """Relative strength index and Chande momentum oscillator, Wilder smoothing."""
-    reach = memory(1 - 1 / n) + n
+    count = f"_moves_{col}"
 
     def fn(d, ks):
         d = d.withColumn("_d", F.col(col) - F.lag(col).over(_w(ks, order)))
         d = d.withColumns({"_u": F.greatest("_d", F.lit(0.0)), "_v": F.greatest(-F.col("_d"), F.lit(0.0))})
-        d = d.withColumn("_k", _count("_d", ks, order, reach))
+        d = d.withColumn("_k", F.col(count))
         d = _smooth(d, {"_su": "_u", "_sv": "_v"}, n, ks, order, F.col("_k"))
         u, v = F.col("_su"), F.col("_sv")
         return d.withColumns({
             "rsi": F.when(u + v == 0, 0.0).otherwise(100 * u / (u + v)),
             "cmo": F.when(u + v == 0, 0.0).otherwise(100 * (u - v) / (u + v)),
-        }).drop("_d", "_u", "_v", "_k", "_su", "_sv")
+        }).drop("_d", "_u", "_v", "_k", "_su", "_sv", count)
 
-    return Step(2 * reach + 2, 0, fn)
+    return Step(decay_reach(1 - 1 / n) + n + 1, 0, fn, _counted(order, {count: lambda w: F.col(col) - F.lag(col).over(w)}))
 
 
 @windowed
@@ -158,19 +176,18 @@ def directional(order, n=14):
 
     Movement and true range are sums decaying by (n-1)/n from the first n-1 moves.
     """
-    reach = memory(1 - 1 / n) + n
     decay = 1 - 1 / n
+    counts = {"_ranges": _range}, {"_seen": lambda w: F.when(F.col("_ranges") >= n, 1)}
 
     def fn(d, ks):
         w = _w(ks, order)
         up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-        prev = F.lag("close").over(w)
         d = d.withColumns({
             "_p": F.when((up > 0) & (up > down), up).when(up.isNotNull(), 0.0),
             "_m": F.when((down > 0) & (down > up), down).when(up.isNotNull(), 0.0),
-            "_t": F.when(prev.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))),
+            "_t": _range(w),
         })
-        d = d.withColumn("_k", _count("_t", ks, order, reach))
+        d = d.withColumn("_k", F.col("_ranges"))
         seed = lambda c: F.sum(c).over(w.rowsBetween(-(n - 2), 0))
         entry = lambda c: F.when(F.col("_k") == n - 1, seed(c)).when(F.col("_k") > n - 1, F.col(c))
         d = decayed_sums(d, {f"{c}s": entry(c) for c in ("_p", "_m", "_t")}, decay, ks, order)
@@ -180,12 +197,11 @@ def directional(order, n=14):
         d = d.withColumns({"plus_dm": p, "minus_dm": m, "plus_di": F.when(seen, 100 * div0(p, t)), "minus_di": F.when(seen, 100 * div0(m, t))})
         a, b = F.col("plus_di"), F.col("minus_di")
         d = d.withColumn("dx", 100 * div0(F.abs(a - b), a + b))
-        d = d.withColumn("_k2", _count("dx", ks, order, reach))
-        d = _smooth(d, {"adx": "dx"}, n, ks, order, F.col("_k2"))
+        d = _smooth(d, {"adx": "dx"}, n, ks, order, F.col("_seen"))  # dx has a value wherever n ranges were seen
         d = d.withColumn("adxr", (F.col("adx") + F.lag("adx", n - 1).over(w)) / 2)
-        return d.drop("_k", "_k2", *[f"{c}{s}" for c in ("_p", "_m", "_t") for s in ("", "s")])
+        return d.drop("_k", "_ranges", "_seen", *[f"{c}{s}" for c in ("_p", "_m", "_t") for s in ("", "s")])
 
-    return Step(6 * reach, 0, fn)
+    return Step(2 * decay_reach(decay) + 3 * n, 0, fn, _counted(order, *counts))
 
 
 @windowed
@@ -224,21 +240,17 @@ def macd(order, col="close", fast=12, slow=26, signal=9):
         d = _ema(d, {"macd_signal": "macd"}, signal, ks, order)
         return d.withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
 
-    return Step(2 * sum(memory(1 - 2 / (k + 1)) + 1 for k in (slow, signal)), 0, fn)
+    return Step(sum(decay_reach(1 - 2 / (k + 1)) + 1 for k in (slow, signal)), 0, fn)
 
 
 @windowed
 def atr(order, n=14):
     """Average true range, Wilder smoothing."""
-    reach = memory(1 - 1 / n) + n
-
     def fn(d, ks):
-        prev = F.lag("close").over(_w(ks, order))
-        d = d.withColumn("_t", F.when(prev.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))))
-        d = d.withColumn("_k", _count("_t", ks, order, reach))
-        return _smooth(d, {"atr": "_t"}, n, ks, order, F.col("_k")).drop("_t", "_k")
+        d = d.withColumn("_t", _range(_w(ks, order)))
+        return _smooth(d, {"atr": "_t"}, n, ks, order, F.col("_atr_ranges")).drop("_t", "_atr_ranges")
 
-    return Step(2 * reach + 2, 0, fn)
+    return Step(decay_reach(1 - 1 / n) + n + 1, 0, fn, _counted(order, {"_atr_ranges": _range}))
 
 
 def volume_lines(df, keys, order, n=14):

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..session import stored
+
 SEG, CTX, POS = "_seg", "_ctx", "_at_row"
 SEGMENT_ROWS = 2_000_000
 MAX_SPLITTERS = 100_000
@@ -194,46 +196,61 @@ def running(df: DataFrame, keys, order, cols, aggs, exclude_current: bool = Fals
     hot = _located(df, keys, order, sp)
     w = frame(keys + [SEG])
     local, added = {}, []
+    # only the state that the asked aggregates need: dates have a maximum but no sum
+    asked = set(aggs)
+    moments, sums, ends = asked & {"std_samp", "std_pop"}, asked & {"sum", "avg"}, asked & {"min", "max"}
     for c in cols:
-        local |= {
-            f"{c}_n": F.count(c), f"{c}_s": F.sum(c), f"{c}_lo": F.min(c), f"{c}_hi": F.max(c),
-            f"{c}_m": F.avg(c), f"{c}_q": F.var_pop(c) * F.count(c),
-        }
+        local[f"{c}_n"] = F.count(c)
+        if sums:
+            local[f"{c}_s"] = F.sum(c)
+        if ends:
+            local |= {f"{c}_lo": F.min(c), f"{c}_hi": F.max(c)}
+        if moments:
+            local |= {f"{c}_m": F.avg(c).cast("double"), f"{c}_q": F.var_pop(c) * F.count(c)}
 
     def merge(v):
         out = {}
         for c in cols:
-            n, m, q = F.col(f"{c}_n"), F.col(f"{c}_m"), F.col(f"{c}_q")
-            centre = F.avg(m).over(W.partitionBy(*keys))
+            n = F.col(f"{c}_n")
             total = F.sum(n).over(v)
-            mean = F.sum(n * m).over(v) / total
-            spread = F.sum(q + n * F.pow(m - centre, 2)).over(v) - total * F.pow(mean - centre, 2)
-            out |= {
-                f"_{c}_n": F.coalesce(total, F.lit(0)), f"_{c}_s": F.sum(f"{c}_s").over(v),
-                f"_{c}_lo": F.min(f"{c}_lo").over(v), f"_{c}_hi": F.max(f"{c}_hi").over(v),
-                f"_{c}_m": mean, f"_{c}_q": spread,
-            }
+            out[f"_{c}_n"] = F.coalesce(total, F.lit(0))
+            if sums:
+                out[f"_{c}_s"] = F.sum(f"{c}_s").over(v)
+            if ends:
+                out |= {f"_{c}_lo": F.min(f"{c}_lo").over(v), f"_{c}_hi": F.max(f"{c}_hi").over(v)}
+            if moments:
+                m, q = F.col(f"{c}_m"), F.col(f"{c}_q")
+                centre = F.avg(m).over(W.partitionBy(*keys))
+                mean = F.sum(n * m).over(v) / total
+                spread = F.sum(q + n * F.pow(m - centre, 2)).over(v) - total * F.pow(mean - centre, 2)
+                out |= {f"_{c}_m": mean, f"_{c}_q": spread}
         added.extend(out)
         return out
 
     hot = _carried(hot, keys, local, merge)
+    kinds = plain(df.select(*keys, *order, *[c for c in cols if c not in keys + order])).schema
     got = {}
     for c in cols:
-        n0, m0, q0 = F.col(f"_{c}_n"), F.coalesce(f"_{c}_m", F.lit(0.0)), F.coalesce(f"_{c}_q", F.lit(0.0))
-        n1 = F.count(c).over(w)
-        m1 = F.coalesce(F.avg(c).over(w), F.lit(0.0))
-        q1 = F.coalesce(F.var_pop(c).over(w), F.lit(0.0)) * n1
+        n0, n1 = F.col(f"_{c}_n"), F.count(c).over(w)
         n = n0 + n1
-        s1, s0 = F.sum(c).over(w), F.col(f"_{c}_s")
-        total = F.when(s0.isNull(), s1).when(s1.isNull(), s0).otherwise(s0 + s1)
-        spread = q0 + q1 + F.when((n0 > 0) & (n1 > 0), F.pow(m1 - m0, 2) * n0 * n1 / n).otherwise(0.0)
-        have = {
-            "count": n, "sum": total, "avg": F.when(n > 0, total / n),
-            "min": F.least(F.col(f"_{c}_lo"), F.min(c).over(w)), "max": F.greatest(F.col(f"_{c}_hi"), F.max(c).over(w)),
-            "std_samp": F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))),
-            "std_pop": F.when(n > 0, F.sqrt(F.greatest(spread, F.lit(0.0)) / n)),
-        }
-        got |= {names(c, a): have[a] for a in aggs}
+        have = {"count": n}
+        if sums:
+            s1, s0 = F.sum(c).over(w), F.col(f"_{c}_s")
+            total = F.when(s0.isNull(), s1).when(s1.isNull(), s0).otherwise(s0 + s1)
+            have |= {"sum": total, "avg": F.when(n > 0, total / n)}
+        if ends:
+            have |= {"min": F.least(F.col(f"_{c}_lo"), F.min(c).over(w)), "max": F.greatest(F.col(f"_{c}_hi"), F.max(c).over(w))}
+        if moments:
+            m0, q0 = F.coalesce(f"_{c}_m", F.lit(0.0)), F.coalesce(f"_{c}_q", F.lit(0.0))
+            m1 = F.coalesce(F.avg(c).over(w).cast("double"), F.lit(0.0))
+            q1 = F.coalesce(F.var_pop(c).over(w), F.lit(0.0)) * n1
+            spread = q0 + q1 + F.when((n0 > 0) & (n1 > 0), F.pow(m1 - m0, 2) * n0 * n1 / n).otherwise(0.0)
+            have |= {
+                "std_samp": F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))),
+                "std_pop": F.when(n > 0, F.sqrt(F.greatest(spread, F.lit(0.0)) / n)),
+            }
+        # the types of the plain window, whatever the size of the key
+        got |= {names(c, a): have[a].cast(kinds[names(c, a)].dataType) for a in aggs}
     hot = hot.withColumns(got).drop(SEG, *added)
     return plain(_cold(df, keys, sp)).unionByName(hot)
 
@@ -301,22 +318,42 @@ def group_quantiles(df: DataFrame, keys, col: str, qs, how: str = "linear", name
 
 @dataclass
 class Step:
-    """Window columns with their reach in rows."""
+    """Window columns with their reach in rows.
+
+    ``prepare(df, keys, split)`` adds columns that look at all earlier rows (running counts, say) before the
+    step runs; ``finish(df, keys, split)`` works on its result in the same way.
+    """
 
     before: int
     after: int
     fn: Callable[[DataFrame, list[str]], DataFrame]
+    prepare: Callable | None = None
+    finish: Callable | None = None
 
 
 def chain(df: DataFrame, keys, order, *steps: Step, split=AUTO) -> DataFrame:
     """Apply several steps over one key and order: one shuffle, one sort."""
+    keys, order = listed(keys), listed(order)
+    if any(s.prepare or s.finish for s in steps):
+        split = _chosen(df, keys, order, split)
+    for s in steps:
+        df = s.prepare(df, keys, split) if s.prepare else df
 
     def fn(d, ks):
         for s in steps:
             d = s.fn(d, ks)
         return d
 
-    return by_key(df, keys, order, fn, sum(s.before for s in steps), sum(s.after for s in steps), split)
+    out = by_key(df, keys, order, fn, sum(s.before for s in steps), sum(s.after for s in steps), split)
+    for s in steps:
+        out = s.finish(held(out, split), keys, split) if s.finish else out
+    return out
+
+
+def held(df: DataFrame, split) -> DataFrame:
+    """``df``, stored first if large keys are cut: what follows then reads it once for the cut keys, once for the
+    others and once for the segments' states, and must not compute it each time."""
+    return df if split is None else stored(df)
 
 
 def windowed(factory: Callable[..., Step]):

@@ -150,25 +150,37 @@ def memory(decay: float) -> int:
     return max(1, math.ceil(54 * math.log(2) / -math.log(decay)))
 
 
+def decay_block(decay: float) -> int:
+    """Rows of a block: twelve times ``memory``, so a weight inside it is 2 ** -648 at least."""
+    return 12 * memory(decay)
+
+
+def decay_reach(decay: float) -> int:
+    """Rows that ``decayed_sums`` looks back: weights beyond two blocks are 0 in double precision."""
+    return 3 * decay_block(decay)
+
+
 def decayed_sums(d, exprs: dict[str, Column], decay, ks, order):
     """Add sums of value x decay^age over the rows so far, one column per expression.
 
-    Rows are cut into blocks of ``memory(decay)``. A running sum inside the block plus
-    the total of the block before is the whole sum: anything older weighs less than
-    one unit in the last place. Constant work per row; NULL counts as 0.
+    Rows are cut into blocks. A running sum inside the block plus the totals of the two blocks before is the
+    whole sum, also after long runs of 0 or NULL: what is older has a weight below 2 ** -1290, which a double
+    holds as 0. Constant work per row; NULL counts as 0. Values above 1e110 overflow.
     """
-    size = memory(decay)
+    size = decay_block(decay)
     up, down = (lambda e: F.pow(F.lit(1 / decay), e)), (lambda e: F.pow(F.lit(decay), e))
     d = d.withColumns({f"_x_{n}": F.coalesce(e.cast("double"), F.lit(0.0)) for n, e in exprs.items()})
     d = d.withColumn("_rn", F.row_number().over(_w(ks, order)) - 1)
     d = d.withColumns({"_blk": F.floor(F.col("_rn") / size), "_off": F.col("_rn") % size})
     inside = W.partitionBy(*ks, "_blk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*ks).orderBy("_blk").rangeBetween(-1, -1)
     off = F.col("_off")
 
     def total(x):
         now = F.sum(x * up(off)).over(inside) * down(off)
-        return now + F.coalesce(F.sum(x * down(size - 1 - off)).over(before), F.lit(0.0)) * down(off + 1)
+        for back in (1, 2):
+            before = F.sum(x * down(size - 1 - off)).over(W.partitionBy(*ks).orderBy("_blk").rangeBetween(-back, -back))
+            now = now + F.coalesce(before, F.lit(0.0)) * down(off + 1 + (back - 1) * size)
+        return now
 
     d = d.withColumns({n: total(F.col(f"_x_{n}")) for n in exprs})
     return d.drop("_rn", "_blk", "_off", *[f"_x_{n}" for n in exprs])
@@ -176,14 +188,18 @@ def decayed_sums(d, exprs: dict[str, Column], decay, ks, order):
 
 @windowed
 def ewm(order, col, alpha, shift=0, name=None):
-    """Adjusted exponentially weighted mean; NULL values keep their age but weigh nothing."""
+    """Adjusted exponentially weighted mean; NULL values keep their age but weigh nothing.
+
+    At a NULL the mean is that of the last value before it, however far back.
+    """
+    name = name or f"{col}_ewm"
+
     def fn(d, ks):
         d = d.withColumn("_s", F.lag(col, shift).over(_w(ks, order)) if shift else F.col(col))
         d = decayed_sums(d, {"_v": F.col("_s"), "_n": F.col("_s").isNotNull().cast("double")}, 1 - alpha, ks, order)
-        # before the first value the weight is exactly 0
-        return d.withColumn(name or f"{col}_ewm", F.when(F.col("_n") > 0, F.col("_v") / F.col("_n"))).drop("_s", "_v", "_n")
+        return d.withColumn(name, F.when(F.col("_s").isNotNull(), F.col("_v") / F.col("_n"))).drop("_s", "_v", "_n")
 
-    return Step(2 * memory(1 - alpha) + shift + 1, 0, fn)
+    return Step(decay_reach(1 - alpha) + shift + 1, 0, fn, finish=lambda d, keys, split: fill(d, keys, order, [name], split=split))
 
 
 @windowed

@@ -152,7 +152,7 @@ def supplier_rolling_shape(t):
 @query("user_ewm", "W11", f"""
 WITH {EV}, r AS (SELECT *, row_number() OVER c AS i FROM ev WINDOW c AS ({W_EV}))
 SELECT a.user_id, a.event_id, sum(b.value * pow(0.4, a.i - 1 - b.i)) / sum(pow(0.4, a.i - 1 - b.i)) AS value_ewm
-FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.i <= a.i - 1 AND b.i > a.i - 80
+FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.i <= a.i - 1
 GROUP BY a.user_id, a.event_id""", "value_ewm")
 def user_ewm(t):
     return N.ewm(log(t), U, UO, "value", 0.6, shift=1).select("user_id", "event_id", "value_ewm")
