@@ -6,8 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .aggregates import tail_rows
 from .ordered import AUTO, listed, positions, same_keys
-
-CHUNK = 100_000
+from .ranking import top_rows
 
 
 def _gather(df, keys, order, cols):
@@ -21,11 +20,12 @@ def _gather(df, keys, order, cols):
     return packed.select(*keys, *[field(c) for c in cols])
 
 
-def sequences(df, keys, order, cols, chunk=CHUNK, split=AUTO):
+def sequences(df, keys, order, cols, chunk, split=AUTO):
     """Aligned arrays of the columns per key in order, in pieces of at most ``chunk`` rows.
 
-    A key longer than ``chunk`` gives several rows, numbered by ``piece`` from 0, so
-    no array grows without bound and nothing is cut off.
+    A key longer than ``chunk`` gives several rows, numbered by ``piece`` from 0, so no array grows without
+    bound and nothing is cut off. A piece is not the key: what holds for whole keys is asked of their rows
+    (``longer_keys``, ``last_n``, ``first_n``) before they are gathered.
     """
     keys = listed(keys)
     d = positions(df, keys, order, "_pos", split)
@@ -38,14 +38,22 @@ def last_n(df, keys, order, cols, n):
     return _gather(tail_rows(df, keys, order, n), listed(keys), order, cols)
 
 
+def first_n(df, keys, order, cols, n):
+    """Arrays of the first n rows per key; rows beyond n are dropped before the shuffle."""
+    return _gather(top_rows(df, keys, n, *listed(order)).drop("rank"), listed(keys), order, cols)
+
+
 def chunk(df, keys, order, cols, n, min_size=1):
     """Non-overlapping pieces of n rows; a shorter last piece stays only with ``min_size`` rows."""
     out = sequences(df, keys, order, cols, n)
     return out.filter(F.size(listed(cols)[0]) >= min_size)
 
 
-def longer_than(df, col, n):
-    return df.filter(F.size(col) > n)
+def longer_keys(df, keys, n):
+    """Rows of the keys that have more than n rows, whatever the size of the key."""
+    keys = listed(keys)
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > n).select(*keys)
+    return same_keys(df, long, keys, "left_semi")
 
 
 def _c(x):
@@ -87,8 +95,6 @@ def item_weights(df, keys, item, name="weights"):
 
 def weight_map(weights, keys, item, n, name="weights"):
     """The n heaviest items per key as a map."""
-    from .ranking import top_rows
-
     best = top_rows(weights, keys, n, F.desc(name), F.col(item))
     return best.groupBy(*listed(keys)).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(item, name)))).alias(name))
 
@@ -130,11 +136,11 @@ def group_sizes(df, keys):
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).orderBy(*keys)
 
 
-def apply_by_key(df, keys, order, fn, schema, rows=CHUNK, split=AUTO):
+def apply_by_piece(df, keys, order, fn, schema, rows, split=AUTO):
     """Run ``fn(pandas frame) -> pandas frame`` over each key's rows in order, in pieces of at most ``rows``.
 
-    For work no expression covers. A key longer than ``rows`` is handed over in
-    several calls, so no call holds an unbounded group.
+    For work no expression covers. One call sees one piece: a key longer than ``rows`` is handed over in
+    several calls, so ``fn`` must not need the whole key, and no call holds an unbounded group.
     """
     keys, order = listed(keys), listed(order)
     d = positions(df, keys, order, "_pos", split)

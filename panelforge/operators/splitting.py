@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, functions as F
 
 from .ordered import attach, listed, positions, positions_all, same_keys
 from .ranking import uniform
 
+MAX_CLASSES = 1_000_000
+
 
 def _hash(keys, seed):
     return F.xxhash64(*[F.col(c) for c in listed(keys)], F.lit(seed))
@@ -22,58 +22,69 @@ def stratified_fold(df, y, ids, k, seed=0, draw: Column | None = None, name="fol
     return out.withColumn(name, ((F.col("_pos") - 1) % k).cast("int")).drop("_pos", "_h")
 
 
-def multilabel_fold(df, labels, ids, k, seed=0, name="fold"):
-    """Folds balanced over the joint values of several labels; each joint value starts at its own fold."""
-    labels = listed(labels)
-    out = stratified_fold(df, labels, ids, k, seed, name="_f")
-    return out.withColumn(name, F.pmod(F.col("_f") + _hash(labels, seed), F.lit(k)).cast("int")).drop("_f")
+def multilabel_fold(df, labels, ids, k, seed=0, draw: Column | None = None, name="fold"):
+    """Folds balanced over the values of each label: a row is dealt with the rows that share its rarest value.
+
+    Rows are dealt in turn per rarest (label, value), in hash order or that of ``draw``, so each fold has the
+    rows of a rare value in equal numbers, within one. Ties take the first label; NULL is a value.
+    """
+    labels, ids = listed(labels), listed(ids)
+    d = df.withColumn("_h", _hash(ids, seed) if draw is None else draw)
+    for j, c in enumerate(labels):
+        d = same_keys(d, df.groupBy(c).agg(F.count(F.lit(1)).alias(f"_n{j}")), [c], "inner")
+    each = [F.struct(F.col(f"_n{j}").alias("n"), F.lit(j).alias("j"), F.col(c).cast("string").alias("v")) for j, c in enumerate(labels)]
+    d = d.withColumn("_rare", F.array_min(F.array(*each))).withColumns({"_rj": F.col("_rare.j"), "_rv": F.col("_rare.v")})
+    out = positions(d, ["_rj", "_rv"], ["_h", *ids], "_pos")
+    fold = ((F.col("_pos") - 1 + F.col("_rj")) % k).cast("int")
+    return out.withColumn(name, fold).drop("_h", "_rare", "_rj", "_rv", "_pos", *[f"_n{j}" for j in range(len(labels))])
 
 
 def _deal(classes: list[tuple[int, int]], k: int):
     """Largest first, each group to the lightest fold (the lowest number among equals).
 
-    ``classes`` holds (group size, number of groups), largest first. Equal groups are
-    dealt one by one until the loads differ by less than a group, then in turn, so
-    the work depends on the distinct sizes only. Gives per size the first folds one
-    by one and the repeating turn after them.
+    ``classes`` holds (group size, number of groups), largest first. Groups of one size go in at most 2 k phases:
+    the folds within one group of the lightest take turns until they catch up with the next heavier fold. Gives
+    per size its phases (first position, folds in turn), so the work depends on the distinct sizes only.
     """
     loads = [0] * k
     for size, count in classes:
-        heap = [(load, i) for i, load in enumerate(loads)]
-        heapq.heapify(heap)
-        first = []
-        while count and max(heap)[0] - heap[0][0] >= size:
-            load, i = heapq.heappop(heap)
-            heapq.heappush(heap, (load + size, i))
-            first.append(i)
-            count -= 1
-        turn = [i for _, i in sorted(heap)]
-        for load, i in heap:
-            loads[i] = load
-        for at, i in enumerate(turn):
-            loads[i] += size * (count // k + (at < count % k))
-        yield size, first, turn
+        phases, at = [], 0
+        while at < count:
+            order = sorted((load, i) for i, load in enumerate(loads))
+            turn = [i for load, i in order if load < order[0][0] + size]
+            room = count - at
+            if len(turn) < k:
+                ahead, fold = order[len(turn)]  # joins once the others pass it
+                room = min(room, sum((ahead - loads[i]) // size + ((ahead - loads[i]) % size > 0 or i < fold) for i in turn))
+            phases.append((at, turn))
+            for t, i in enumerate(turn):
+                loads[i] += size * (room // len(turn) + (t < room % len(turn)))
+            at += room
+        yield size, phases
 
 
 def group_fold(df, group, k, strata: Column | None = None, name="fold"):
     """k folds that keep groups whole and balance rows: the largest group first, to the lightest fold.
 
-    ``strata`` is an aggregate per group; each of its values is dealt on its own. The
-    driver sees one row per distinct group size, at most about sqrt(2 x rows).
+    ``strata`` is an aggregate per group with few values; each is dealt on its own. The driver sees one row
+    per stratum and distinct group size, at most about sqrt(2 x rows) sizes a stratum, and 2 k phases for each.
     """
     group = listed(group)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), (F.lit(0) if strata is None else strata).alias("_st"))
     counted: dict = {}
-    for r in sizes.groupBy("_st", "_n").agg(F.count(F.lit(1)).alias("c")).collect():
+    found = sizes.groupBy("_st", "_n").agg(F.count(F.lit(1)).alias("c")).limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} strata and group sizes")
+    for r in found:
         counted.setdefault(r["_st"], []).append((r["_n"], r["c"]))
-    rows = [(st, n, first, turn) for st, cl in counted.items() for n, first, turn in _deal(sorted(cl, reverse=True), k)]
+    rows = [(st, n, phases) for st, cl in counted.items() for n, phases in _deal(sorted(cl, reverse=True), k)]
     kind = sizes.schema["_st"].dataType.simpleString()
-    plan = df.sparkSession.createDataFrame(rows, f"_st {kind}, _n bigint, _first array<int>, _turn array<int>")
+    plan = df.sparkSession.createDataFrame(rows, f"_st {kind}, _n bigint, _phases array<struct<first:bigint,turn:array<int>>>")
     at = positions(sizes, ["_st", "_n"], group, "_pos")
     plan = F.broadcast(plan) if len(rows) <= 100_000 else plan
-    at = same_keys(at, plan, ["_st", "_n"], "inner").withColumn("_i", (F.col("_pos") - 1).cast("int"))
-    early = F.size("_first")
-    fold = F.when(F.col("_i") < early, F.get("_first", F.col("_i"))).otherwise(F.get("_turn", (F.col("_i") - early) % k))
+    at = same_keys(at, plan, ["_st", "_n"], "inner").withColumn("_i", F.col("_pos") - 1)
+    at = at.withColumn("_phase", F.element_at(F.filter("_phases", lambda p: p["first"] <= F.col("_i")), -1))
+    fold = F.get("_phase.turn", ((F.col("_i") - F.col("_phase.first")) % F.size("_phase.turn")).cast("int"))
     return same_keys(df, at.select(*group, fold.alias(name)), group, "left")
 
 

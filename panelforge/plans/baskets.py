@@ -123,9 +123,10 @@ def supplier_pivot_forecast(t):
 
 @query("customer_melt_years", "R7", """
 SELECT k.o_custkey, CAST(y AS BIGINT) AS year, sum(o_totalprice) FILTER (year(o_orderdate) = y) AS total, count(o_orderkey) FILTER (year(o_orderdate) = y) AS n
-FROM orders k, (VALUES (1996), (1997), (1998)) v(y) GROUP BY 1, 2""", "total", digits=2)
+FROM orders k, (SELECT DISTINCT year(o_orderdate) AS y FROM orders) v GROUP BY 1, 2""", "total", digits=2)
 def customer_melt_years(t):
-    y, years = F.year("o_orderdate"), (1996, 1997, 1998)
+    y = F.year("o_orderdate")
+    years = sorted(r[0] for r in t.orders.select(y).distinct().collect())  # a column each
     wide = t.orders.groupBy("o_custkey").agg(
         *[F.sum(F.when(y == v, F.col("o_totalprice"))).alias(f"total_{v}") for v in years], *[F.count(F.when(y == v, 1)).alias(f"n_{v}") for v in years]
     )
@@ -176,12 +177,15 @@ def user_stage_blocks(t):
     return R.stack_stages(e, "user_id", "stage", _STAGE, {"n": F.count(F.lit(1)), "sum": F.sum("value")})
 
 
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
 @query("day_measures", "R13", """
-SELECT CAST(ts AS DATE) AS day, """ + ", ".join(f"sum(value) FILTER (event_type = '{v}') AS {v}_total, count(*) FILTER (event_type = '{v}') AS {v}_n" for v in ("click", "error", "purchase", "view")) + """
-FROM events GROUP BY 1""", "click_total error_total purchase_total view_total")
+SELECT CAST(ts AS DATE) AS day, """ + ", ".join(f"sum(value) FILTER (event_type = '{v}') AS {v}_total, count(*) FILTER (event_type = '{v}') AS {v}_n" for v in _KINDS) + """
+FROM events GROUP BY 1""", " ".join(f"{v}_total" for v in _KINDS))
 def day_measures(t):
     per = t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
-    out = R.pivot_measures(per, "day", "event_type", ["click", "error", "purchase", "view"], ["total", "n"])
+    out = R.pivot_measures(per, "day", "event_type", list(_KINDS), ["total", "n"])
     return out.fillna(0, subset=[c for c in out.columns if c.endswith("_n")])
 
 
@@ -189,15 +193,21 @@ def day_measures(t):
 
 
 @query("user_sequences", "Q1 Q2 Q3 Q4 Q6", f"""
-WITH {EV}, s AS (SELECT user_id, list(event_id ORDER BY us, event_id) AS ids, list(value ORDER BY us, event_id) AS vals FROM ev GROUP BY 1)
-SELECT user_id, ids, vals, CASE WHEN len(ids) >= 70 THEN ids[-70:] ELSE list_resize(CAST([] AS BIGINT[]), 70 - len(ids), -1) || ids END AS left70,
- CASE WHEN len(ids) >= 70 THEN ids[1:70] ELSE list_resize(ids, 70, -1) END AS right70, [-9] || ids[1:len(ids) - 1] AS shifted,
- list_transform(CASE WHEN len(ids) >= 70 THEN ids[-70:] ELSE list_resize(CAST([] AS BIGINT[]), 70 - len(ids), -1) || ids END, lambda x: x = -1) AS mask
-FROM s WHERE len(ids) > 40""")
+WITH {EV}, k AS (SELECT user_id FROM ev GROUP BY 1 HAVING count(*) > 40), r AS (SELECT ev.*, row_number() OVER ({W_EV}) AS i FROM ev JOIN k USING (user_id)),
+s AS (SELECT user_id, list(event_id ORDER BY i) AS ids FROM r GROUP BY 1),
+p AS (SELECT user_id, (i - 1) // 64 AS piece, list(event_id ORDER BY i) AS ids, list(value ORDER BY i) AS vals FROM r GROUP BY 1, 2)
+SELECT user_id, piece, p.ids, vals, CASE WHEN len(s.ids) >= 70 THEN s.ids[-70:] ELSE list_resize(CAST([] AS BIGINT[]), 70 - len(s.ids), -1) || s.ids END AS left70,
+ CASE WHEN len(s.ids) >= 70 THEN s.ids[1:70] ELSE list_resize(s.ids, 70, -1) END AS right70, [-9] || s.ids[1:least(len(s.ids), 70) - 1] AS shifted,
+ list_transform(CASE WHEN len(s.ids) >= 70 THEN s.ids[-70:] ELSE list_resize(CAST([] AS BIGINT[]), 70 - len(s.ids), -1) || s.ids END, lambda x: x = -1) AS mask
+FROM p JOIN s USING (user_id)""")
 def user_sequences(t):
-    s = Q.longer_than(Q.sequences(log(t).select("user_id", "us", F.col("event_id"), F.col("event_id").alias("ids"), F.col("value").alias("vals")), U, UO, ["ids", "vals"]), "ids", 40)
-    wide = s.select("user_id", "ids", "vals", Q.pad_left("ids", 70, -1).alias("left70"), Q.pad_right("ids", 70, -1).alias("right70"), Q.shift_right("ids", -9).alias("shifted"))
-    return wide.withColumn("mask", Q.pad_mask("left70", -1))
+    e = log(t).select("user_id", "us", F.col("event_id"), F.col("event_id").alias("ids"), F.col("value").alias("vals"))
+    long = Q.longer_keys(e, U, 40)
+    pieces = Q.sequences(long, U, UO, ["ids", "vals"], 64, split=O.splitters(e, U, UO))
+    left = Q.last_n(long, U, UO, "ids", 70).select("user_id", Q.pad_left("ids", 70, -1).alias("left70"))
+    first = Q.first_n(long, U, UO, "ids", 70)
+    right = first.select("user_id", Q.pad_right("ids", 70, -1).alias("right70"), Q.shift_right("ids", -9).alias("shifted"))
+    return pieces.join(left, "user_id").join(right, "user_id").withColumn("mask", Q.pad_mask("left70", -1))
 
 
 @query("user_chunks", "Q5", f"""
@@ -271,4 +281,4 @@ SELECT user_id, event_id, value - avg(value) OVER (PARTITION BY user_id, piece)
 def user_piece_means(t):
     off = lambda pdf: pdf.assign(off=pdf["value"] - pdf["value"].mean())[["user_id", "event_id", "off"]]
     e = log(t).select("user_id", "us", "event_id", "value")
-    return Q.apply_by_key(e, U, UO, off, "user_id bigint, event_id bigint, off double", 25)
+    return Q.apply_by_piece(e, U, UO, off, "user_id bigint, event_id bigint, off double", 25)

@@ -104,9 +104,12 @@ def stratified_folds(t):
     return V.stratified_fold(d, ["o_orderstatus", "o_orderpriority"], "o_orderkey", 5, draw=h, name="joint_fold").select("o_orderkey", "fold", "joint_fold")
 
 
-@query("multilabel_folds", "V4")
+@query("multilabel_folds", "V4", """
+WITH c AS (SELECT *, count(*) OVER (PARTITION BY quality) AS a, count(*) OVER (PARTITION BY toxic) AS b FROM labels),
+r AS (SELECT doc_id, CASE WHEN a <= b THEN 0 ELSE 1 END AS j, CASE WHEN a <= b THEN quality ELSE toxic END AS v FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY j, v ORDER BY (doc_id * 7919) % 1000003, doc_id) - 1 + j) % 5 AS fold FROM r""")
 def multilabel_folds(t):
-    return V.multilabel_fold(t.labels, ["quality", "toxic"], "doc_id", 5).select("doc_id", "fold")
+    return V.multilabel_fold(t.labels, ["quality", "toxic"], "doc_id", 5, draw=(F.col("doc_id") * 7919) % 1000003).select("doc_id", "fold")
 
 
 @query("group_folds", "V2", """
@@ -118,7 +121,12 @@ def group_folds(t):
     return V.group_fold(t.orders, "o_custkey", 4).select("o_custkey", "fold").distinct()
 
 
-@query("stratified_group_folds", "V3")
+@query("stratified_group_folds", "V3", """
+WITH RECURSIVE c AS (SELECT o_custkey, count(*) AS n, sum(CAST(o_orderstatus = 'F' AS INT)) AS y FROM orders GROUP BY 1),
+g AS (SELECT *, st.s AS st, row_number() OVER (PARTITION BY st.s ORDER BY n DESC, o_custkey) AS i FROM (SELECT *, CASE WHEN y * 2 > n THEN 1 ELSE 0 END AS s FROM c) AS st),
+r AS (SELECT st, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS o_custkey, CAST(0 AS BIGINT) AS n, CAST(0 AS HUGEINT) AS y, CAST(-1 AS BIGINT) AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads FROM (SELECT DISTINCT st FROM g) UNION ALL
+  SELECT g.st, g.i, g.o_custkey, g.n, g.y, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + g.n ELSE x END) FROM r JOIN g ON g.st = r.st AND g.i = r.i + 1)
+SELECT fold, sum(n)::BIGINT AS n, count(*) AS customers, sum(y)::BIGINT AS positives FROM r WHERE i > 0 GROUP BY fold""", ints="fold")
 def stratified_group_folds(t):
     o = t.orders.withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
     d = V.stratified_group_fold(o, "y", "o_custkey", 5)
