@@ -8,11 +8,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, Normalizer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stored
 from .ordered import attach, listed, same_keys
 from .cleaning import label_map
 from .reshape import union
@@ -56,44 +56,79 @@ def pca(df, cols, k, name="pca"):
     return model.transform(d).withColumn(name, vector_to_array("_pca")).drop("_vec", "_pca")
 
 
-def tfidf(df, words, ngrams=(1, 1), max_features=512, binary=False, name="tfidf"):
-    """L2-normalized tf-idf of word n-grams; the most frequent terms make the vocabulary.
+def tfidf(df, keys, words, ngrams=(1, 1), max_features=512, binary=False):
+    """Tf-idf of word n-grams as rows (keys, term, weight), and the vocabulary (term, total, df, idf).
 
-    ``words`` is an array column. Gives the vectors and the vocabulary in order.
+    The vocabulary holds the ``max_features`` most frequent terms, ties by the term. A term weighs its count
+    (``binary``: 1) times ln((1 + n) / (1 + df)) + 1 over n documents; a document's weights have length 1.
+    ``words`` is an array column; a document without a term of the vocabulary gives no row.
+    """
+    keys, (lo, hi) = listed(keys), ngrams
+    w = F.col(words)
+
+    def runs(n):
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    grams = [runs(n) for n in range(lo, hi + 1)]
+    counts = df.select(*keys, F.explode(F.concat(*grams)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if binary:
+        counts = counts.withColumn("tf", F.lit(1))
+    terms = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
+    vocab = terms.transform(attach, df.agg(F.count(F.lit(1)).alias("_docs")))
+    vocab = vocab.select("term", "total", "df", (F.log((1 + F.col("_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    size = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_size"))
+    return same_keys(raw, size, keys, "inner").select(*keys, "term", (F.col("weight") / F.col("_size")).alias("weight")), vocab
+
+
+def topics(df, cols, k, seed=0, iterations=10, name="topics", share=1.0):
+    """Topic mixture of count columns or one count vector column.
+
+    Each step fits a ``share`` of the rows; with the default every row is used in every step.
     """
-    lo, hi = ngrams
-    parts = []
-    for n in range(lo, hi + 1):
-        df = NGram(n=n, inputCol=words, outputCol=f"_g{n}").transform(df)
-        parts.append(f"_g{n}")
-    df = df.withColumn("_terms", F.concat(*parts))
-    vocab = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, binary=binary).fit(df)
-    df = vocab.transform(df)
-    df = IDF(inputCol="_tf", outputCol="_idf").fit(df).transform(df)
-    df = Normalizer(inputCol="_idf", outputCol=name).transform(df)
-    return df.drop(*parts, "_terms", "_tf", "_idf"), vocab.vocabulary
-
-
-def topics(df, cols, k, seed=0, iterations=10, name="topics"):
-    """Topic mixture of count columns or one count vector column."""
     d = df.withColumnRenamed(cols, "_vec") if isinstance(cols, str) and df.schema[cols].dataType.typeName() == "vectorudt" else _vector(df, cols)
-    model = LDA(k=k, seed=seed, maxIter=iterations, featuresCol="_vec", topicDistributionCol="_mix").fit(d)
+    model = LDA(k=k, seed=seed, maxIter=iterations, subsamplingRate=share, featuresCol="_vec", topicDistributionCol="_mix").fit(d)
     return model.transform(d).withColumn(name, vector_to_array("_mix")).drop("_mix", "_vec")
 
 
-def nmf(df, row, col, value, k, seed=0, iterations=10, reg=1e-4):
-    """Non-negative factors of a matrix given as (row, column, value): row factors and column factors.
+def nmf(df, row, col, value, k, iterations=10):
+    """Non-negative factors of a sparse matrix given as (row, column, value): tables (id, f0, f1, ...) of rows and columns.
 
-    A cell that is not given is unknown, so zeros that should count must be rows.
+    Cells that are not given are 0 and count. Multiplicative updates; the zeros enter through the k x k Gram
+    sums of the other side, so only given cells are joined. The start is fixed: factor i of id x is
+    1 + ((7 x + 3 i) mod 11) / 11 for whole ids, so two runs agree. Ids are kept as they are.
     """
-    als = ALS(rank=k, nonnegative=True, userCol=row, itemCol=col, ratingCol=value, seed=seed, maxIter=iterations, regParam=reg)
-    model = als.fit(df.select(F.col(row).cast("int"), F.col(col).cast("int"), F.col(value).cast("float")))
-    return model.userFactors, model.itemFactors
+    cells = df.groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.sum(F.col(value).cast("double")).alias("v"))
+    names = [f"f{i}" for i in range(k)]
 
+    def begin(side):
+        return cells.select(F.col(side).alias("id")).distinct().select("id", *[(1 + F.pmod(F.col("id") * 7 + 3 * i, F.lit(11)) / 11.0).alias(n) for i, n in enumerate(names)])
 
-def item2vec(df, seq, dim, window=5, min_count=1, seed=0, iterations=1):
-    """Item vectors learnt from sequences of item names, as (word, vector array)."""
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, seed=seed, maxIter=iterations, inputCol=seq, outputCol="_v").fit(df)
+    def step(mine, own, other, their):
+        met = cells.join(other.withColumnRenamed("id", their), their)
+        top = met.groupBy(F.col(own).alias("id")).agg(*[F.sum(F.col("v") * F.col(n)).alias(f"_t{i}") for i, n in enumerate(names)])
+        gram = other.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"_g{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)])
+        d = mine.join(top, "id").transform(attach, gram)
+        below = [sum((F.col(a) * F.col(f"_g{j}_{i}") for j, a in enumerate(names)), F.lit(1e-12)) for i in range(k)]
+        return d.select("id", *[(F.col(n) * F.col(f"_t{i}") / below[i]).alias(n) for i, n in enumerate(names)])
+
+    cells = stored(cells)
+    rows, cols = stored(begin("r")), stored(begin("c"))
+    for _ in range(iterations):
+        rows = stored(step(rows, "r", cols, "c"))
+        cols = stored(step(cols, "c", rows, "r"))
+    return rows, cols
+
+
+def item2vec(df, seq, dim, window=5, min_count=1, seed=0, iterations=1, partitions=None):
+    """Item vectors learnt from sequences of item names, as (word, vector array).
+
+    Trained on ``partitions`` parts of the data at once (default: those of ``df``), whose weights are averaged
+    after each iteration. The vocabulary, items that occur ``min_count`` times, is held by the driver.
+    """
+    parts = partitions or max(1, df.rdd.getNumPartitions())
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=parts, inputCol=seq, outputCol="_v").fit(df)
     return model.getVectors().withColumn("vector", vector_to_array("vector"))
 
 

@@ -160,12 +160,16 @@ def vector_pca(t):
     return L.pca(t.embeddings, "embedding", 4).select("vec_id", "pca")
 
 
-@query("document_tfidf", "L4")
+@query("document_tfidf", "L4", f"""
+WITH w AS (SELECT doc_id, {WORDS.replace('(text,', '(lower(text),')} AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS term FROM w),
+c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
+v AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 64),
+r AS (SELECT doc_id, term, tf * idf AS x FROM c JOIN v USING (term))
+SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM r""", "weight")
 def document_tfidf(t):
-    from pyspark.ml.functions import vector_to_array
-
-    d, _ = L.tfidf(spread(t.documents).select("doc_id", X.words(F.lower("text")).alias("w")), "w", (2, 3), 64)
-    return d.select("doc_id", vector_to_array("tfidf").alias("tfidf"))
+    rows, _ = L.tfidf(spread(t.documents).select("doc_id", X.words(F.lower("text")).alias("w")), "doc_id", "w", (2, 3), 64)
+    return rows
 
 
 @query("customer_topics", "L5")
@@ -178,16 +182,35 @@ def customer_topics(t):
     return L.topics(c, kinds, 3, iterations=5).select("o_custkey", "topics")
 
 
-@query("basket_factors", "L5")
+def _factor_sql(steps, k):
+    """The updates of ``nmf`` as one chain of CTEs over cells b(r, c, v)."""
+    start = ", ".join(f"1 + ((7 * id + {3 * i}) % 11) / 11.0::DOUBLE AS f{i}" for i in range(k))
+    out = [f"{x}0 AS MATERIALIZED (SELECT id, {start} FROM (SELECT DISTINCT {x} AS id FROM b))" for x in "rc"]
+
+    def step(mine, other, own, their, name):
+        top = ", ".join(f"sum(v * o.f{i}) AS t{i}" for i in range(k))
+        gram = ", ".join(f"sum(f{i} * f{j}) AS g{i}_{j}" for i in range(k) for j in range(k))
+        new = ", ".join(f"m.f{i} * t{i} / (1e-12 + {' + '.join(f'm.f{j} * g{j}_{i}' for j in range(k))}) AS f{i}" for i in range(k))
+        return (f"{name} AS MATERIALIZED (SELECT m.id, {new} FROM {mine} m JOIN (SELECT b.{own} AS id, {top} FROM b JOIN {other} o ON b.{their} = o.id GROUP BY 1) t ON m.id = t.id, "
+                f"(SELECT {gram} FROM {other}) g)")
+
+    for i in range(steps):
+        out.append(step(f"r{i}", f"c{i}", "r", "c", f"r{i + 1}"))
+        out.append(step(f"c{i}", f"r{i + 1}", "c", "r", f"c{i + 1}"))
+    return ", ".join(out)
+
+
+@query("basket_factors", "L5", f"""
+WITH b AS (SELECT l_suppkey AS r, l_partkey AS c, count(*)::DOUBLE AS v FROM lineitem GROUP BY 1, 2), {_factor_sql(4, 3)}
+SELECT * FROM r4""", "f0 f1 f2")
 def basket_factors(t):
     b = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    users, _ = L.nmf(b, "l_suppkey", "l_partkey", "n", 3, iterations=4)
-    return users.select("id", F.transform("features", lambda x: x.cast("double")).alias("factors"))
+    return L.nmf(b, "l_suppkey", "l_partkey", "n", 3, iterations=4)[0]
 
 
 @query("item_vectors", "L6")
 def item_vectors(t):
     from ..operators import sequences as Q
 
-    s = Q.sequences(log(t), ["user_id"], ["us", "event_id"], ["event_type"])
+    s = Q.sequences(log(t), ["user_id"], ["us", "event_id"], ["event_type"], 10_000)
     return L.item2vec(s, "event_type", 8)

@@ -4,23 +4,24 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelforge.operators import aggregates as A, learning as L
 
 
 def test_tfidf_by_hand(spark):
-    docs = [["a", "b", "a"], ["b", "c"], ["b", "a", "b", "d"]]
+    docs = [["a", "b", "a"], ["b", "c"], ["b", "a", "b", "d"], []]
     d = spark.createDataFrame([(i, w) for i, w in enumerate(docs)], "i int, w array<string>")
-    out, vocab = L.tfidf(d, "w", (1, 2), 4)
+    out, vocab = L.tfidf(d, "i", "w", (1, 2), 4)
     grams = [x + [f"{p} {q}" for p, q in zip(x, x[1:])] for x in docs]
-    assert set(vocab) <= {g for x in grams for g in x} and {"a", "b"} <= set(vocab) and len(vocab) == 4
-    df = {v: sum(v in x for x in grams) for v in vocab}
-    for r in out.select("i", vector_to_array("tfidf").alias("v")).collect():
-        raw = np.array([grams[r["i"]].count(v) * math.log(4 / (df[v] + 1)) for v in vocab])
+    terms = sorted({g for x in grams for g in x}, key=lambda g: (-sum(x.count(g) for x in grams), g))[:4]
+    assert [r["term"] for r in vocab.orderBy(F.desc("total"), "term").collect()] == terms
+    df = {v: sum(v in x for x in grams) for v in terms}
+    got = {(r["i"], r["term"]): r["weight"] for r in out.collect()}
+    for i, x in enumerate(grams):
+        raw = np.array([x.count(v) * (math.log(5 / (df[v] + 1)) + 1) for v in terms])
         size = np.linalg.norm(raw)
-        np.testing.assert_allclose(r["v"], raw / size if size else raw, atol=1e-12)
+        np.testing.assert_allclose([got.get((i, v), 0.0) for v in terms], raw / size if size else raw, atol=1e-12)
 
 
 def test_pca_axes(spark):
@@ -39,9 +40,10 @@ def test_topics_and_factors(spark):
     for r in L.topics(d, ["a", "b", "c"], 2).collect():
         assert sum(r["topics"]) == pytest.approx(1) and min(r["topics"]) >= 0
     m = spark.createDataFrame([(i, j, float(1 + (i % 2) * (j % 2))) for i in range(10) for j in range(6)], "r int, c int, v double")
-    rows, cols = L.nmf(m, "r", "c", "v", 2, iterations=15)
-    u = {r["id"]: np.array(r["features"]) for r in rows.collect()}
-    v = {r["id"]: np.array(r["features"]) for r in cols.collect()}
+    big = m.withColumn("r", F.col("r") + 10_000_000_000)  # ids beyond int
+    rows, cols = L.nmf(big, "r", "c", "v", 2, iterations=40)
+    u = {r["id"] - 10_000_000_000: np.array([r["f0"], r["f1"]]) for r in rows.collect()}
+    v = {r["id"]: np.array([r["f0"], r["f1"]]) for r in cols.collect()}
     assert min(x.min() for x in [*u.values(), *v.values()]) >= 0
     assert max(abs(u[r["r"]] @ v[r["c"]] - r["v"]) for r in m.collect()) < 0.3
 
