@@ -83,7 +83,7 @@ def user_keyword_aggs(t):
     return out.join(m, U, "left")
 
 
-_TYPES = ("click", "view", "purchase", "error", "nothing")
+_TYPES = ("click", "view", "purchase", "error", "signup", "nothing")
 
 
 @query("session_category_aggs", "A12 A13", f"""

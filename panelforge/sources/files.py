@@ -96,7 +96,10 @@ def cached(spark, name, fn: Callable[[], DataFrame], refresh=False) -> DataFrame
 
 
 def assemble(blocks: dict[str, DataFrame], keys) -> DataFrame:
-    """Feature blocks side by side, joined on the row key in the order of their names; a repeated column is an error."""
+    """Feature blocks side by side in the order of their names: every key of any block, NULL keys included.
+
+    A column of one block is NULL for keys that only others hold; a repeated column is an error.
+    """
     keys = listed(keys)
     out, seen = None, set(keys)
     for name in sorted(blocks):
@@ -105,7 +108,13 @@ def assemble(blocks: dict[str, DataFrame], keys) -> DataFrame:
         if again:
             raise ValueError(f"block {name} repeats {again}")
         seen.update(block.columns)
-        out = block if out is None else out.join(block, keys, "left")
+        if out is None:
+            out = block
+            continue
+        renamed = block.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in block.columns if c not in keys])
+        met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+        joined = out.join(renamed, met, "full")
+        out = joined.select(*[F.coalesce(k, f"_r_{k}").alias(k) for k in keys], *[c for c in joined.columns if c not in keys and not c.startswith("_r_")])
     return out
 
 

@@ -214,18 +214,21 @@ def stage_state(stream, keys, stage, stages, value) -> DataFrame:
 
 
 def score_batches(stream, fn: Callable[[DataFrame], DataFrame], rid, path, checkpoint=None):
-    """Score every micro-batch with ``fn``, check that it returns each id once, and write it.
+    """Score every micro-batch with ``fn``, check that it returns each id once, and only then publish it.
 
-    A replayed batch overwrites its own folder, so each is stored once.
+    A batch is staged in a folder that readers of ``path`` do not see. A replayed batch overwrites its own
+    folders, so each is published once.
     """
     from ..operators.metrics import validate_batch
 
     def run(batch: DataFrame, epoch: int):
-        target = f"{path}/batch={epoch}"
-        fn(batch).write.mode("overwrite").parquet(target)
-        found = validate_batch(batch.sparkSession.read.parquet(target), batch, rid).first()
+        staged = f"{path}/_staged/{epoch}"
+        fn(batch).write.mode("overwrite").parquet(staged)
+        made = batch.sparkSession.read.parquet(staged)
+        found = validate_batch(made, batch, rid).first()
         if found["missing"] or found["unexpected"] or found["repeated"]:
             raise ValueError(f"batch {epoch}: {found.asDict()}")
+        made.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint or scratch(stream.sparkSession, "scores"))
     return writer.trigger(availableNow=True)
