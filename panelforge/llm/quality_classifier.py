@@ -85,17 +85,17 @@ def fit(docs: DataFrame, labels: DataFrame, good: Column, key: str = "doc_id", t
 
     ``good`` is a condition on ``labels``; rows where it or the key is NULL are left out, and a document with
     several labels is good only if all are. At most ``limit`` labels are used, those of the lowest hashes, so
-    their table is broadcast and the rows to fit are few. Without labels, or with labels of one kind, all
-    weights are 0 and the rate is (good + 1) / (n + 2).
+    their table is broadcast and the rows to fit are few. Labels without a document are left out. Without
+    labels, or with labels of one kind, all weights are 0; the rate is (good + 1) / (n + 2) always.
     """
     marked = labels.select(F.col(key).alias("key"), good.cast("int").alias("good")).filter("key is not null and good is not null")
     used = stored(marked.groupBy("key").agg(F.min("good").alias("good")).orderBy(F.xxhash64("key"), "key").limit(limit))
-    n, n_good = used.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    met = stored(rows.join(F.broadcast(used), "key").select("good", _buckets("text").alias("buckets")))
+    n, n_good = met.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
     rate = (n_good + 1.0) / (n + 2.0)
     if not 0 < n_good < n:
         return np.zeros(BUCKETS), 0.0, rate
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    met = stored(rows.join(F.broadcast(used), "key").select("good", _buckets("text").alias("buckets")))
     model = LogisticRegression(labelCol="good", featuresCol="x", regParam=PENALTY, elasticNetParam=SPARSE, standardization=False, maxIter=ITERATIONS)
     fitted = model.fit(met.select("good", _vector("buckets").alias("x")))
     return fitted.coefficients.toArray(), float(fitted.intercept - np.log(rate / (1 - rate))), rate

@@ -44,7 +44,9 @@ def test_shards_grow_and_slots_are_gapless(spark, rows, empty, small_segments):
     many = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     slots = sharding.shard(many, 5).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
     assert all(s["n"] == s["d"] == s["m"] + 1 for s in slots)
-    assert {r["s"] for r in spark.createDataFrame([("a",), ("b",), (None,)], "k string").select(sharding.jump_shard(sharding.stable_key("k", F.col("k") and spark.createDataFrame([("a",)], "k string").schema["k"].dataType), 9).alias("s")).collect()} <= set(range(9))
+    names = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    key = sharding.stable_key("k", names.schema["k"].dataType)
+    assert {r["s"] for r in names.select(sharding.jump_shard(key, 9).alias("s")).collect()} <= set(range(9))
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,7 +75,7 @@ def test_quality_measures(spark, rows, empty):
     held = quality_rules.ledger(rows, name="held")
     assert held.columns == [*rows.columns, "held"] and held.count() == rows.count() and quality_rules.ledger(empty, name="held").count() == 0
     kept = quality_rules.apply_policy(rows, quality_rules.STRICT)
-    assert kept.columns == rows.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, None, 10, 11}
+    assert kept.columns == rows.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, None}  # 10 and 11 repeat themselves
 
 
 def test_ablation(spark):
