@@ -50,9 +50,10 @@ def high_null_cols(df, t, cols=None):
     return _names(column_profile(df, cols, approximate=True), F.col("null_rate") > t)
 
 
-def low_unique_cols(df, t=1, cols=None, approximate=False):
-    """Columns with at most t distinct values."""
-    return _names(column_profile(df, cols, approximate), F.col("distinct") <= t)
+def low_unique_cols(df, t=1, cols=None):
+    """Columns with at most t distinct values; only columns whose estimate is near t are counted exactly."""
+    near = _names(column_profile(df, cols, approximate=True), F.col("distinct") <= 2 * t + 10)
+    return _names(column_profile(df, near), F.col("distinct") <= t) if near else []
 
 
 def low_variance_cols(df, t, cols=None):

@@ -67,7 +67,16 @@ def reply_overlap(t):
                            X.ngram_overlap("text", "prompt", 3).alias("trigrams"), X.word_overlap("text", "prompt").alias("words"))
 
 
-@query("readability_grades", "F9")
+@query("readability_grades", "F9", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1)::DOUBLE AS s FROM documents WHERE text IS NOT NULL),
+y AS (SELECT *, list_transform(w, lambda x: greatest(len(regexp_extract_all(lower(x), '[aeiouy]+'))
+  - CASE WHEN regexp_matches(lower(x), '[^aeiouy]e$') AND NOT regexp_matches(lower(x), 'le$') THEN 1 ELSE 0 END, 1)) AS y FROM w),
+t AS (SELECT doc_id, s, CASE WHEN len(w) > 0 THEN len(w)::DOUBLE END AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::DOUBLE AS chars, coalesce(list_sum(y), 0)::DOUBLE AS syl,
+  len(list_filter(y, lambda x: x >= 3))::DOUBLE AS poly, len(list_filter(w, lambda x: length(x) > 6))::DOUBLE AS long FROM y)
+SELECT doc_id, syl AS syllables, 4.71 * (chars / n) + 0.5 * (n / s) - 21.43 AS ari, 5.88 * (chars / n) - 29.6 * s / n - 15.8 AS coleman_liau, 1.043 * sqrt(poly * 30 / s) + 3.1291 AS smog,
+  CASE WHEN (n + 2 * poly) / s > 20 THEN (n + 2 * poly) / s / 2 ELSE ((n + 2 * poly) / s - 2) / 2 END AS linsear, 0.39 * (n / s) + 11.8 * (syl / n) - 15.59 AS kincaid,
+  206.835 - 1.015 * (n / s) - 84.6 * (syl / n) AS flesch, 0.4 * (n / s + 100 * poly / n) AS fog, n / s + 100 * long / n AS lix, long / s AS rix FROM t""",
+       "syllables ari coleman_liau smog linsear kincaid flesch fog lix rix")
 def readability_grades(t):
     return spread(t.documents).select("doc_id", *[c.alias(n) for n, c in X.readability("text").items()])
 

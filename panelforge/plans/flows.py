@@ -131,7 +131,10 @@ WITH {EV} SELECT user_id, event_id, us, count(*) OVER b AS past_count, avg(value
 FROM ev WINDOW c AS ({W_EV}), a AS ({W_EV} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), b AS ({W_EV} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
        "past_avg past_std past_avg_5", "gap_0 gap_1", digits=9)
 def stream_user_history(t):
-    out = ST.run_to_files(ST.user_history(event_stream(t), U, UO, "value", "us", [5], 2))
+    return _history_columns(ST.run_to_files(ST.user_history(event_stream(t), U, UO, "value", "us", [5], 2)))
+
+
+def _history_columns(out):
     nul = lambda c: F.when(~F.isnan(c), F.col(c))
     return out.select("user_id", "event_id", "us", "past_count", nul("past_avg").alias("past_avg"), nul("past_std").alias("past_std"), nul("past_avg_5").alias("past_avg_5"),
                       nul("gap_0").cast("bigint").alias("gap_0"), nul("gap_1").cast("bigint").alias("gap_1"))
@@ -172,11 +175,15 @@ def stream_scores(t):
     return t.spark.read.parquet(path).select("event_id", "score")
 
 
-@query("stream_from_saved_state", "X6")
+@query("stream_from_saved_state", "X6", f"""
+WITH {EV}, h AS (SELECT user_id, event_id, us, count(*) OVER b AS past_count, avg(value) OVER b AS past_avg, stddev_pop(value) OVER b AS past_std,
+ CASE WHEN lag(1, 6) OVER c IS NOT NULL THEN avg(value) OVER a END AS past_avg_5, lag(us, 1) OVER c - lag(us, 2) OVER c AS gap_0, lag(us, 2) OVER c - lag(us, 3) OVER c AS gap_1
+FROM ev WINDOW c AS ({W_EV}), a AS ({W_EV} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), b AS ({W_EV} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT * FROM h WHERE event_id > (SELECT max(event_id) // 2 FROM events)""", "past_avg past_std past_avg_5", "gap_0 gap_1", digits=9)
 def stream_from_saved_state(t):
     """History of the second half of the events, starting from the state of the first half."""
     e = log(t)
     half = e.agg(F.max("event_id").alias("m")).first()["m"] // 2
     state = ST.history_state(e.filter(F.col("event_id") <= half), U, UO, "value", "us", [5], 2)
     later = event_stream(t).filter(F.col("event_id") > half)
-    return ST.run_to_files(ST.user_history(later, U, UO, "value", "us", [5], 2, initial=state))
+    return _history_columns(ST.run_to_files(ST.user_history(later, U, UO, "value", "us", [5], 2, initial=state)))

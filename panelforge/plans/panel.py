@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import aggregates as A, ordered as O, windows as N
+from ..operators import aggregates as A, cleaning as L, ordered as O, windows as N
 from .catalog import Tables, query
 
 
@@ -258,7 +258,7 @@ def user_since_last(t):
     d = O.positions(e, U, UO, split=cut)
     d = N.since_last(d, U, UO, "pos", F.col("hit") == 1, split=cut)
     d = N.since_last(d, U, UO, "pos", F.col("hit") == 1, shift=2, name="since_before", split=cut)
-    d = d.withColumn("live_value", F.when(F.col("since_last") > 4, None).otherwise(F.col("value")))
+    d = L.mask_inactive(d.withColumn("live_value", F.col("value")), "since_last", "live_value", 4)
     return d.select("user_id", "event_id", "since_last", "since_before", "live_value")
 
 

@@ -276,6 +276,15 @@ def event_null_fill(t):
     return C.fill_null(C.fill_null(g, {"kind": "type_null"}), "mean", "v")
 
 
+@query("text_dates", "F15 F16", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) AS seconds, floor(o_totalprice * 25) / 25.0 AS frame_start FROM orders""", "frame_start", digits=4)
+def text_dates(t):
+    text = F.date_format("o_orderdate", "dd/MM/yyyy")
+    return t.orders.select(
+        "o_orderkey", S.parse_date(text, "dd/MM/yyyy").alias("day"), S.epoch(text, "dd/MM/yyyy").alias("seconds"),
+        S.frame_to_time(S.time_to_frame("o_totalprice", 25.0), 25.0).alias("frame_start"))
+
+
 @query("order_column_profile", "P7 P8 P9", """
 WITH g AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_custkey END AS a, o_orderstatus AS b, o_totalprice / 1000 AS c, 7 AS d FROM orders)
 SELECT 'a' AS "column", avg(CAST(a IS NULL AS INT)) AS null_rate, count(DISTINCT a) AS "distinct", var_samp(a) AS variance, CAST(min(a) AS DOUBLE) AS min, CAST(max(a) AS DOUBLE) AS max FROM g
@@ -297,6 +306,19 @@ def lineitem_correlations(t):
     return pairs.unionByName(y.select(F.col("column").alias("a"), F.lit("target").alias("b"), "r"))
 
 
+@query("lineitem_kept_columns", "P7 P8 P9 P10", """
+SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_discount AS discount FROM lineitem""", "quantity discount")
+def lineitem_kept_columns(t):
+    """Column filters in turn: mostly NULL, constant, hardly varying, and copies of an earlier column."""
+    g = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.when(F.col("l_linenumber") > 4, F.col("l_tax")).alias("mostly_null"),
+        F.lit(7).alias("constant"), (F.col("l_tax") / 1000).alias("still"), (F.col("l_quantity") * 2 + F.col("l_discount")).alias("copy"))
+    g = g.drop(*C.high_null_cols(g, 0.5))
+    g = g.drop(*C.low_unique_cols(g, 1))
+    g = g.drop(*C.low_variance_cols(g, 1e-6))
+    return g.drop(*C.high_corr_cols(g, ["quantity", "discount", "copy"], 0.99))
+
+
 @query("customer_winsorize", "P12 P13", """
 WITH o AS (SELECT *, o_totalprice / 1000 AS p FROM orders), q AS (SELECT o_custkey, quantile_cont(p, 0.05) AS lo, quantile_cont(p, 0.95) AS hi FROM o GROUP BY 1)
 SELECT o_orderkey, CASE WHEN p < lo THEN lo WHEN p > hi THEN hi ELSE p END AS price FROM o JOIN q USING (o_custkey)""", "price", digits=9)
