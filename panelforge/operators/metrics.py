@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import correlation
 from ..session import stored
-from .aggregates import hierarchy_sum, hierarchy_weights, series_scale
+from .aggregates import hierarchy_sum, series_scale
 from .joins import cross_keys, greedy_match, in_intervals
 from .ordered import attach, listed, running, running_all, same_keys
 from .reshape import to_intervals
@@ -172,11 +172,22 @@ def wrmsse_table(train, valid, levels, step, y, p, revenue, split=None):
     dims = list(dict.fromkeys(c for cols in levels.values() for c in cols))
     timed = {name: [*cols, step] for name, cols in levels.items()}
     key = ["level", *dims]
-    past = hierarchy_sum(train, timed, {"_y": y})
-    scale = series_scale(past, key, [step], "_y", split=split)
-    ahead = hierarchy_sum(valid, timed, {"_y": y, "_p": p})
-    err = ahead.groupBy(*key).agg(F.avg(F.pow(F.col("_y") - F.col("_p"), 2)).alias("_mse"))
-    weights = hierarchy_weights(revenue, levels, "value")
+    none = F.lit(None).cast("double")
+
+    def part(df, at, past=none, true=none, guess=none, value=none, is_past=0, is_ahead=0):
+        held = {"_past": past, "_y": true, "_p": guess, "_v": value, "_is_past": F.lit(is_past), "_is_ahead": F.lit(is_ahead)}
+        return df.select(*dims, at.alias(step), *[c.cast("double").alias(n) for n, c in held.items()])
+
+    rows = part(train, F.col(step), past=F.col(y), is_past=1)
+    rows = rows.unionByName(part(valid, F.col(step), true=F.col(y), guess=F.col(p), is_ahead=1))
+    rows = rows.unionByName(part(revenue, F.lit(None).cast(train.schema[step].dataType), value=F.col("value")))
+    names = ("_past", "_y", "_p", "_v", "_is_past", "_is_ahead")
+    rolled = stored(hierarchy_sum(rows, timed, {n: n for n in names}))  # one expansion over the levels for all three
+    scale = series_scale(rolled.filter("_is_past > 0").select(*key, step, "_past"), key, [step], "_past", split=split)
+    err = rolled.filter("_is_ahead > 0").groupBy(*key).agg(F.avg(F.pow(F.col("_y") - F.col("_p"), 2)).alias("_mse"))
+    sums = rolled.filter(F.col("_v").isNotNull()).select(*key, "_v")
+    totals = sums.groupBy("level").agg(F.sum("_v").alias("_t"))  # one row per level
+    weights = sums.join(F.broadcast(totals), "level").select(*key, (F.col("_v") / F.col("_t") / len(levels)).alias("weight"))
     both = same_keys(same_keys(err, scale, key, "left"), weights, key, "inner")
     # a series without a step has no scale and, like one with scale 0, is divided by 1
     scaled = F.sqrt(F.col("_mse") / F.when(F.coalesce("scale", F.lit(0.0)) != 0, F.col("scale")).otherwise(1.0))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, Window as W, functions as F
 
+from ..session import stored
 from .ordered import attach, listed, positions_all, same_keys
 
 
@@ -81,6 +82,7 @@ def batches(df, order, size, name="batch"):
 
 
 PRIME = 2_147_483_647
+SPAN = 10_000
 
 
 def negative_samples(pos, user, item, n, popular=None, n_popular=0, seed=0, draw: Column | None = None):
@@ -91,18 +93,21 @@ def negative_samples(pos, user, item, n, popular=None, n_popular=0, seed=0, draw
     n + p candidates, which leaves n after the anti join (or all there are).
     ``draw`` is a whole number per user; a hash with the seed if not given.
     """
-    own = pos.select(user, item).distinct()
-    counted = pos.groupBy(item).agg(F.count(F.lit(1)).alias("_c"))
+    own = stored(pos.groupBy(user, item).agg(F.count(F.lit(1)).alias("_c")))  # read several times below
+    counted = own.groupBy(item).agg(F.sum("_c").alias("_c"))
     ranked = positions_all(counted.withColumn("_neg", -F.col("_c")), ["_neg", item], "_slot").select(item, (F.col("_slot") - 1).alias("_slot"))
+    ranked = stored(ranked)
     start = F.xxhash64(F.col(user), F.lit(seed)) if draw is None else draw
     users = own.groupBy(user).agg(F.count(F.lit(1)).alias("_own")).withColumn("_start", F.pmod(start, F.lit(PRIME)))
 
     def drawn(items, want):
         size = items.agg(F.count(F.lit(1)).alias("_size"))  # one row
         tries = F.least(F.col("_size"), F.lit(want) + F.col("_own"))
-        walk = users.transform(attach, size).withColumn("_try", F.explode(F.sequence(F.lit(1).cast("bigint"), tries)))
+        spans = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((tries - 1) / SPAN)))  # no array of all tries
+        walk = users.transform(attach, size).withColumn("_tries", tries).filter("_tries > 0").withColumn("_span", spans)
+        walk = walk.withColumn("_try", F.explode(F.sequence(F.col("_span") * SPAN + 1, F.least("_tries", (F.col("_span") + 1) * SPAN))))
         walk = walk.withColumn("_slot", F.pmod(F.col("_start") + F.col("_try") * F.lit(PRIME), F.col("_size")))
-        found = walk.join(items, "_slot").join(own, [user, item], "left_anti")
+        found = walk.join(items, "_slot").join(own.select(user, item), [user, item], "left_anti")
         return top_rows(found, user, want, F.col("_try")).select(user, item)
 
     out = drawn(ranked, n)
