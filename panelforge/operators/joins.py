@@ -195,16 +195,32 @@ def _match(times, truth, tol):
 
 
 def _match_runs(keys, tolerance, batches):
-    """Match run by run over a partition sorted by run; a run cut by a batch end is carried on."""
-    rest = None
+    """Match run by run over a partition sorted by run; the parts of a run cut by batch ends are joined once, at its end."""
+    by, held = [*keys, "_run"], []
+
+    def ended():
+        frame = pd.concat(held, ignore_index=True)
+        held.clear()
+        yield from _matched(frame, np.zeros(len(frame)), tolerance)
+
     for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        ids = pdf.groupby([*keys, "_run"], sort=False, dropna=False).ngroup().to_numpy()
-        whole = ids < ids[-1]
-        rest = pdf[~whole]
-        yield from _matched(pdf[whole], ids[whole], tolerance)
-    if rest is not None:
-        yield from _matched(rest, np.zeros(len(rest)), tolerance)
+        if not len(pdf):
+            continue
+        ids = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        now = tuple(pdf[by].iloc[0])
+        if held and not all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(tuple(held[-1][by].iloc[-1]), now)):
+            yield from ended()
+        middle, last = ids < ids[-1], ids == ids[-1]
+        if held:
+            held.append(pdf[ids == ids[0]])
+            if ids[0] == ids[-1]:
+                continue
+            yield from ended()
+            middle &= ids > ids[0]
+        yield from _matched(pdf[middle], ids[middle], tolerance)
+        held.append(pdf[last])
+    if held:
+        yield from ended()
 
 
 def _matched(pdf, ids, tolerance):

@@ -136,3 +136,23 @@ def test_assembled_blocks_keep_every_key(spark):
     got = IO.assemble({"p": a, "q": b, "r": c}, "k")
     assert got.columns == ["k", "x", "y", "z"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 10, None, None), (None, 11, 21, None), (2, None, 20, 30), (3, None, None, 31)], key=repr)
+
+
+def test_runs_cut_by_batches():
+    from panelforge.operators.joins import _match_runs
+
+    r = random.Random(5)
+    rows, run = [], 0
+    for key in (1.0, 1.0, None, 2.0):
+        run += 1
+        for i in range(r.choice([1, 5, 40])):
+            rows.append((key, run, 10.0, float(i), i % 2, i, r.random() if i % 2 else np.nan))
+    whole = pd.DataFrame(rows, columns=["k", "_run", "tolerance", "_t", "_isd", "_id", "_score"])
+
+    def matched(size):
+        parts = [whole.iloc[i : i + size] for i in range(0, len(whole), size)]
+        return pd.concat(list(_match_runs(["k"], "tolerance", iter(parts)))).reset_index(drop=True)
+
+    want = matched(len(whole))
+    for size in (1, 2, 3, 7, 39):
+        pd.testing.assert_frame_equal(matched(size), want)
