@@ -308,9 +308,14 @@ def price_relatives(order, price):
 
 
 def transform_agg(df, keys, aggs: dict[str, Column]):
-    """Aggregates per key beside each row: partial aggregation and a join, so a large key is never one task."""
-    keys = listed(keys)
-    return same_keys(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys, "left")
+    """Aggregates per key beside each row: partial aggregation and a join, so a large key is never one task.
+
+    Both sides go by one struct of the keys, which is never NULL and equal where its NULL fields agree: the
+    aggregates are joined where they were made, without another shuffle.
+    """
+    held = df.withColumn("_key", F.struct(*listed(keys)))
+    per = held.groupBy("_key").agg(*[c.alias(n) for n, c in aggs.items()]).withColumnRenamed("_key", "_of")
+    return held.join(per, F.col("_key") == F.col("_of"), "left").drop("_key", "_of")
 
 
 def cumcount(df, keys, order, mod=None, name="cumcount", split=AUTO):

@@ -156,3 +156,15 @@ def test_runs_cut_by_batches():
     want = matched(len(whole))
     for size in (1, 2, 3, 7, 39):
         pd.testing.assert_frame_equal(matched(size), want)
+
+
+def test_group_values_beside_rows_take_two_exchanges(spark):
+    d = spark.createDataFrame([(1, None, 1.0), (1, None, 3.0), (None, "x", 5.0), (2, "x", 7.0)], "a int, b string, v double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = N.transform_agg(d, ["a", "b"], {"m": F.avg("v")})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert sorted((r["v"], r["m"]) for r in out.collect()) == [(1.0, 2.0), (3.0, 2.0), (5.0, 5.0), (7.0, 7.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
