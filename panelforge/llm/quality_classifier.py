@@ -27,7 +27,8 @@ from .registry import query, table
 from .texts import coded_words, slices
 
 MAX_LABELLED = 20_000  # labelled documents that the evidence is fitted on, those of the lowest hashes
-BUCKETS = 1 << 18  # of hashed features: the model's size
+BUCKETS = 1 << 17  # of hashed features: the model's size
+FIT_PARTS = 6  # the fitted rows are bounded, and each part sends a gradient of the model's size at each step
 PENALTY, SPARSE, ITERATIONS = 5e-4, 1.0, 60
 MARKS = ".,;:!?\"'()[]{}*#$%&|<>"
 
@@ -91,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, good: Column, key: str = "doc_id", t
     marked = labels.select(F.col(key).alias("key"), good.cast("int").alias("good")).filter("key is not null and good is not null")
     used = stored(marked.groupBy("key").agg(F.min("good").alias("good")).orderBy(F.xxhash64("key"), "key").limit(limit))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    met = stored(rows.join(F.broadcast(used), "key").select("good", _buckets("text").alias("buckets")))
+    met = stored(rows.join(F.broadcast(used), "key").select("good", _buckets("text").alias("buckets"))).coalesce(FIT_PARTS)
     n, n_good = met.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
     rate = (n_good + 1.0) / (n + 2.0)
     if not 0 < n_good < n:
