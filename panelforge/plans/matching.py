@@ -133,7 +133,23 @@ def detections(t: Tables):
     return truth, dets
 
 
-@query("event_average_precision", "J14 M8")
+@query("event_average_precision", "J14 M8", f"""
+WITH RECURSIVE {EV}, e AS (SELECT user_id AS v, event_id AS id, event_type AS event, us / 1e6 - 1704067200 AS t FROM ev),
+g(event, tol) AS (VALUES {', '.join(f"('{k}', {x}::DOUBLE)" for k, xs in _TOLERANCES.items() for x in xs)}),
+k AS (SELECT v, event, t, row_number() OVER (PARTITION BY v, event ORDER BY t) AS i FROM e WHERE event IN ('click', 'error')),
+iv AS (SELECT v, i, max(t) FILTER (event = 'click') AS s, max(t) FILTER (event = 'error') AS e FROM k GROUP BY 1, 2),
+f AS (SELECT v, event, list(t ORDER BY t) AS ts FROM e WHERE event NOT IN ('click', 'error') GROUP BY 1, 2),
+a AS (SELECT v, event, id, t + (id * 37 % 1000 - 500) AS t, (id * 7919 % 997) / 997.0::DOUBLE AS score FROM e WHERE event IN (SELECT event FROM g)),
+b AS (SELECT * FROM a WHERE EXISTS (SELECT 1 FROM iv WHERE iv.v = a.v AND a.t BETWEEN iv.s AND iv.e)),
+d AS (SELECT b.*, ts, row_number() OVER (PARTITION BY v, event ORDER BY score DESC, id) AS i FROM b JOIN f USING (v, event)),
+r AS (SELECT v, event, tol, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken, false AS hit, CAST(0 AS DOUBLE) AS score FROM (SELECT DISTINCT v, event FROM d) JOIN g USING (event) UNION ALL
+  SELECT v, event, tol, i, CASE WHEN j IS NULL THEN taken ELSE list_append(taken, j) END, j IS NOT NULL, score FROM (
+    SELECT r.v, r.event, r.tol, d.i, r.taken, d.score, list_sort(list_transform(list_filter(range(1, len(ts) + 1), lambda j: abs(ts[j] - d.t) < r.tol AND NOT list_contains(r.taken, j)), lambda j: {{'g': abs(ts[j] - d.t), 'j': j}}))[1].j AS j
+    FROM r JOIN d ON d.v = r.v AND d.event = r.event AND d.i = r.i + 1)),
+s AS (SELECT event, tol, score, sum(CAST(hit AS INT)) AS tp, count(*) AS n FROM r WHERE i > 0 GROUP BY ALL),
+c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM s WINDOW w AS (PARTITION BY event, tol ORDER BY score DESC)),
+p AS (SELECT event, count(*) AS p FROM e GROUP BY 1)
+SELECT event, tol AS tolerance, sum(tp * ctp / cn::DOUBLE) / max(p) AS ap FROM c JOIN p USING (event) GROUP BY 1, 2""", "ap")
 def event_average_precision(t):
     truth, dets = detections(t)
     return M.event_ap_table(truth, dets, _TOLERANCES)
