@@ -99,10 +99,18 @@ def scan(docs: DataFrame, rules: RuleSet = BASE, ledger: DataFrame | None = None
     return held.select("blob", F.lit(rules.version).alias("version"), _scanner(rules.rules)("text").alias("spans"))
 
 
-def update(docs: DataFrame, rules: RuleSet = BASE, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """The ledger with the blobs of ``docs`` added, stored in the shared folder."""
+def update(docs: DataFrame, rules: RuleSet = BASE, ledger: DataFrame | None = None, text: str = "text", path: str | None = None) -> DataFrame:
+    """The ledger with the blobs of ``docs`` added, written to ``path``.
+
+    A ledger that later runs go on from needs a ``path``, not that of ``ledger`` itself; without one it lies in
+    the shared folder until the application ends.
+    """
     fresh = scan(docs, rules, ledger, text)
-    return stored(fresh if ledger is None else ledger.select("blob", "version", "spans").unionByName(fresh))
+    grown = fresh if ledger is None else ledger.select("blob", "version", "spans").unionByName(fresh)
+    if path is None:
+        return stored(grown)
+    grown.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: RuleSet = BASE, text: str = "text") -> DataFrame:

@@ -106,7 +106,7 @@ def test_line_dedup(spark, rows, empty):
     assert ("h", 20) in shares and ("c", 1) in shares
 
 
-def test_secrets(spark, rows, empty):
+def test_secrets(spark, rows, empty, tmp_path):
     texts = [
         "token = 'abcdefghijkl' ABCDEF0123456789abcdef", "PassWord: short", 'Api_Key:"aaaaaaaaaaaa"', "ſecret=aaaaaaaaaaaaaaa", "apıkey=aaaaaaaaaaaaaaa",
         "AKIAABCDEFGHIJKLMN AKIASHORT", "é" * 5 + "deadbeefdeadbeef", None, "", "secret=aaaaaaaaaaaa=token=bbbbbbbbbbbbbbbb", "token=\x0baaaaaaaaaaaaaaa", "K" * 3 + "toKen : 0123456789abcdef0",
@@ -129,7 +129,8 @@ def test_secrets(spark, rows, empty):
     # a second run scans only what is new, another version scans all
     more = docs.unionByName(spark.createDataFrame([(90, "token: zzzzzzzzzzzz"), (91, "")], docs.schema))
     assert [r["blob"] for r in secret_scan.scan(more, ledger=ledger).collect()] == [hashlib.sha256(b"token: zzzzzzzzzzzz").hexdigest()]
-    grown = secret_scan.update(more, ledger=ledger)
+    grown = secret_scan.update(more, ledger=ledger, path=str(tmp_path / "ledger"))
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == grown.count()
     assert grown.count() == ledger.count() + 1 and secret_scan.findings(more, grown).filter("spans is null").count() == 0
     other = secret_scan.RuleSet("v2", secret_scan.BASE.rules[:1])
     assert secret_scan.scan(more, other, grown).count() == grown.count()
