@@ -43,8 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def dropped_at_end(spark: SparkSession, path: str) -> str:
+    """``path``, to be deleted by its file system when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def stored(df):
-    """Write a table to the shared folder and read it back: computed once, columnar, safe from lost executors."""
+    """Write a table to the shared folder and read it back: computed once, columnar, safe from lost executors.
+
+    The folder goes when the application ends; what should stay is written by its owner.
+    """
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    dropped_at_end(df.sparkSession, path)  # only paths that exist are taken
     return df.sparkSession.read.parquet(path)
