@@ -20,7 +20,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, boilerplate lines of their source taken out; n_chars is that of the new text, NULL for NULL."""
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return line_dedup.drop_boilerplate(docs, line_dedup.SHARE, line_dedup.PAGES).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

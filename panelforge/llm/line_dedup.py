@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .registry import query, table
 from .texts import free_name
 
+#: Share and pages at which a line of a whole corpus is a template's. Different pages of a host are different
+#: texts: a line that 1 % of them hold, and 5 at least, is not written anew on each of them.
+SHARE, PAGES = 0.01, 5
+
 
 def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
@@ -58,7 +62,7 @@ def drop_boilerplate(
     ``counts`` names two bigint columns to add: lines of the text before, and lines dropped. All rows stay,
     also those left with an empty text. Rows without a host or with NULL text keep their text; lines without
     a word stay in place. ``ratio`` and ``least`` hold for hosts of any size: a host with fewer than ``least``
-    pages keeps all lines. The hosts' arrays meet the rows by host: broadcast only below Spark's threshold,
+    pages keeps all lines. The defaults are those of the query and its twin; corpora take ``SHARE`` and ``PAGES``. The hosts' arrays meet the rows by host: broadcast only below Spark's threshold,
     else in a sort-merge join whose large hosts are split at run time.
     """
     rare = boilerplate(docs, ratio, least, host, text)

@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelforge.llm import chat, line_dedup, quality_rules, secret_scan, sharding, url_filter
 from panelforge.llm.components import components
 
@@ -106,6 +107,16 @@ def test_line_dedup(spark, rows, empty):
     assert ("h", 20) in shares and ("c", 1) in shares
 
 
+def test_planted_ad_line(spark):
+    """The pipeline's stage drops an ad line on 3 % of a large host's pages; a line on few of them stays."""
+    ad, few = "buy now at the corner", "a line of four pages"
+    pages = [(i, "h", f"page {i}\nbody {i}" + f"\n{ad}" * (i % 33 == 0) + f"\n{few}" * (i % 125 == 1)) for i in range(500)]
+    df = spark.createDataFrame(pages, "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: r for r in corpus_pipeline.without_boilerplate(spark, df, "").collect()}
+    assert [got[i]["text"] for i, _, _ in pages] == [t.replace(f"\n{ad}", "") for _, _, t in pages]
+    assert got[33]["n_chars"] == len("page 33\nbody 33") and few in got[1]["text"]
+
+
 def test_secrets(spark, rows, empty, tmp_path):
     texts = [
         "token = 'abcdefghijkl' ABCDEF0123456789abcdef", "PassWord: short", 'Api_Key:"aaaaaaaaaaaa"', "ſecret=aaaaaaaaaaaaaaa", "apıkey=aaaaaaaaaaaaaaa",
