@@ -17,6 +17,7 @@ further test that a candidate pair must pass before its sets are compared in ful
   First each class meets one class of each of its buckets, the one with the fewest shingles before the shared
   one: in a group of near copies the least changed. Verified links give components. Then only classes outside a
   bucket's largest component meet the classes of its other components. A link joins two components or lies in one.
+  ``links`` makes the candidates of each bucket instead, all of them, in salted blocks; its work grows with the links.
 * A class whose shared shingle stands at place i of n can reach the similarity only with sets of at most
   (n - i) (100 + t) / t - n shingles; rows without such a partner in their bucket are left out before pairing.
 
@@ -48,6 +49,7 @@ ORDERS = 3
 SAMPLE_DOCS, SAMPLE_LEAST = 5_000, 3
 PART_SHINGLES = 1 << 19
 CHUNK_SHINGLES = 1 << 20
+BLOCK_CLASSES = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -308,12 +310,8 @@ def _lengths(near: int):
     return F.least("a_n", "b_n") * OUT_OF >= F.greatest("a_n", "b_n") * near
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, near: int = NEAR, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
-    """(members, links). ``members``: key, n_shingles and class of every row of ``docs``; ``links``: pairs (a, b) of
-    similar classes, enough of them to tie together all classes that links of any kind connect.
-
-    Classes are fingerprints of equal sets. Rows without words have n_shingles 0 and a class that has no links.
-    """
+def _indexed(docs: DataFrame, key: str, text: str, words: int, near: int, orders: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets, index): class of every row, the sets that may have links, and the buckets of the second order."""
     if not 67 <= near <= 100 or words < 1 or orders < 2:
         raise ValueError("near from 67 to 100 (a prefix has to fit in the front), at least one word and two orders")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -331,15 +329,28 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     prefixes = F.concat(F.array("own"), F.col("prefixes")).alias("prefixes")
     sets = stored(alive.select("fp", "n", "own").join(read.dropDuplicates(["fp"]), "fp").select("fp", "n", "tokens", "front", "rest", prefixes))
     index = _index(sets.select("fp", "n", F.col("n").alias("n_front"), "front", "rest"), 1.0, near)
+    return first.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("fp").alias("class")), sets, index
 
+
+def _most(near: int):
+    """The largest set that a class can be similar to if the shared shingle is the first they share."""
+    return F.expr(f"(n - place) * {OUT_OF + near} div {near} - n")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, near: int = NEAR, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
+    """(members, links). ``members``: key, n_shingles and class of every row of ``docs``; ``links``: pairs (a, b) of
+    similar classes, enough of them to tie together all classes that links of any kind connect.
+
+    Classes are fingerprints of equal sets. Rows without words have n_shingles 0 and a class that has no links.
+    """
+    members, sets, index = _indexed(docs, key, text, words, near, orders)
     stars = index.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("head.fp").alias("b"), F.col("head.n").alias("b_n"))
     stars = stars.filter((F.col("a") != F.col("b")) & _lengths(near)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near_stars = stored(_verified(stars, sets, near, orders))
     tied = components(near_stars)
 
-    most = F.expr(f"(n - place) * {OUT_OF + near} div {near} - n")
     placed = index.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "token", "fp", "n", F.coalesce("component", "fp").alias("component"), most.alias("most"))
+        "token", "fp", "n", F.coalesce("component", "fp").alias("component"), _most(near).alias("most"))
     held_by = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("most").alias("most"))
     buckets = held_by.groupBy("token").agg(
         F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("c", "component")).alias("largest"), F.min("least").alias("least"), F.max("most").alias("widest"))
@@ -353,8 +364,44 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     once = (F.col("b_in") == F.col("largest")) | (F.col("a") < F.col("b"))
     pairs = side("a", open_rows.filter("component <> largest"), "largest").join(side("b", open_rows), "token").filter((F.col("a_in") != F.col("b_in")) & once & reach & _lengths(near))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = near_stars.unionByName(stored(_verified(pairs, sets, near, orders)))
-    return first.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("fp").alias("class")), links
+    return members, near_stars.unionByName(stored(_verified(pairs, sets, near, orders)))
+
+
+def _candidates(index: DataFrame, near: int) -> DataFrame:
+    """All pairs (a, b) that share a bucket and fit in length, once each; a block of a bucket meets one block at a time."""
+    held = index.groupBy("token").agg(F.count(F.lit(1)).alias("c")).select("token", F.ceil(F.col("c") / BLOCK_CLASSES).cast("int").alias("blocks"))
+    rows = index.join(held, "token").select("token", "fp", "n", _most(near).alias("most"), "blocks", F.pmod(F.xxhash64("fp", "token"), "blocks").cast("int").alias("block"))
+
+    def side(s, i, j):
+        return rows.select("token", F.col("fp").alias(s), F.col("n").alias(f"{s}_n"), F.col("most").alias(f"{s}_most"), i, j)
+
+    block = F.col("block")
+    left = side("a", block.alias("i"), F.explode(F.sequence(block, F.col("blocks") - 1)).alias("j"))
+    right = side("b", F.explode(F.sequence(F.lit(0), block)).alias("i"), block.alias("j"))
+    reach = (F.col("a_n") <= F.col("b_most")) & (F.col("b_n") <= F.col("a_most")) & _lengths(near)
+    met = left.join(right, ["token", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & reach)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, near: int = NEAR, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
+    """(members, links) as in ``classes``, but with every pair (a < b) of similar classes, each once.
+
+    A group of m similar texts has m (m - 1) / 2 links, and as many pairs are verified: this is for callers that
+    need the links themselves; ``classes`` is enough for groups. Rows of one class are similar to each other
+    without a link of their own.
+    """
+    members, sets, index = _indexed(docs, key, text, words, near, orders)
+    return members, stored(_verified(_candidates(index, near), sets, near, orders))
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, near: int = NEAR, orders: int = ORDERS) -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, class, and n_links, the number of other rows that are similar to it."""
+    members, pairs = links(docs, key, text, words, near, orders)
+    size = members.filter("n_shingles > 0").groupBy("class").agg(F.count(F.lit(1)).alias("size"))
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(size.withColumnRenamed("class", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
+    counted = size.join(others.withColumnRenamed("a", "class"), "class", "left").select("class", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counted, "class", "left").select(key, "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, near: int = NEAR, orders: int = ORDERS) -> DataFrame:

@@ -61,6 +61,25 @@ def test_groups_against_brute_force(spark, seed, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(docs)
 
 
+def test_every_link_and_count(spark, monkeypatch):
+    """No link between different texts is lost, also inside a group, whatever the size of the blocks."""
+    docs = corpus(4, 200) + [(1000, None), (1001, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in docs]
+    near = {(x, y) for x, s in enumerate(sets) for y, o in enumerate(sets) if x != y and s and 100 * len(s & o) >= 80 * len(s | o)}
+    for block in (3, 512):
+        monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", block)
+        members, links = jaccard_join.links(df)
+        own = {k: frozenset(s) for (k, _), s in zip(docs, sets)}
+        known = {r["class"]: own[r["doc_id"]] for r in members.collect()}
+        got = [tuple(r) for r in links.collect()]
+        want = {frozenset((frozenset(sets[x]), frozenset(sets[y]))) for x, y in near if sets[x] != sets[y]}
+        assert len(got) == len(want) and {frozenset((known[a], known[b])) for a, b in got} == want
+    assert len(jaccard_join.classes(df)[1].distinct().collect()) < len(want)
+    counts = {r["doc_id"]: r["n_links"] for r in jaccard_join.link_counts(df).collect()}
+    assert [counts[k] for k, _ in docs] == [sum((i, j) in near for j in range(len(docs))) for i in range(len(docs))]
+
+
 def test_other_thresholds(spark):
     docs = corpus(3, 120)
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
