@@ -2,7 +2,8 @@
 
 The share of a line is the number of the host's pages that contain it, divided by the host's pages.
 Lines above a share are dropped from the host's pages. Exact copies of a page on one host count as one page:
-else the copies of a single article would make each of its lines look like boilerplate.
+else the copies of a single article would make each of its lines look like boilerplate. Near copies do so too
+where the caller names them.
 """
 
 from __future__ import annotations
@@ -30,42 +31,59 @@ def _known(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def line_shares(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+def page_of(text: Column) -> Column:
+    """The hash that tells pages apart: equal texts are one page, NULL is the empty text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def line_shares(docs: DataFrame, host: str = "source", text: str = "text", copies: DataFrame | None = None) -> DataFrame:
     """(host, line, n_pages, host_pages): different pages of the host with the line, by the line's hash, and all of them.
 
     A page counts once for a line, however often it repeats it, and rows of equal text are one page of the
     host; NULL counts as the empty text. Lines without a word are not counted, nor are rows without a host.
+    ``copies``: (page, same), one row per page (``page_of``) that is a near copy, ``same`` being one page of its
+    group; a group then counts as one page of each host, which has the lines of all of them.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = F.array_distinct(F.transform(F.filter(_lines(body), _has_word), _known))
-    rows = docs.select(F.col(f"`{host}`").alias("host"), F.xxhash64(body).alias("page"), own.alias("lines")).filter("host is not null")
+    rows = docs.select(F.col(f"`{host}`").alias("host"), page_of(F.col(f"`{text}`")).alias("page"), own.alias("lines")).filter("host is not null")
     each = rows.groupBy("host", "page").agg(F.first("lines").alias("lines"))
-    pages = rows.groupBy("host").agg(F.countDistinct("page").alias("host_pages"))
-    counted = each.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages"))
+    if copies is None:
+        pages = rows.groupBy("host").agg(F.countDistinct("page").alias("host_pages"))
+        lines = each.select("host", F.explode("lines").alias("line"))
+    else:
+        once = each.join(copies, "page", "left").withColumn("page", F.coalesce("same", "page"))
+        pages = once.groupBy("host").agg(F.countDistinct("page").alias("host_pages"))
+        lines = once.select("host", "page", F.explode("lines").alias("line")).distinct()
+    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages"))
     return counted.join(pages, "host")
 
 
-def boilerplate(docs: DataFrame, ratio: float = 0.08, least: int = 5, host: str = "source", text: str = "text") -> DataFrame:
+def boilerplate(
+    docs: DataFrame, ratio: float = 0.08, least: int = 5, host: str = "source", text: str = "text", copies: DataFrame | None = None,
+) -> DataFrame:
     """(host, lines): hashes of the lines on more than ``ratio`` of the host's pages and on ``least`` pages or more.
 
     Per host at most (mean lines of a page) / ``ratio`` lines can pass, so the array stays small for any host.
     """
-    shares = line_shares(docs, host, text).filter((F.col("n_pages") > F.col("host_pages") * ratio) & (F.col("n_pages") >= least))
+    shares = line_shares(docs, host, text, copies).filter((F.col("n_pages") > F.col("host_pages") * ratio) & (F.col("n_pages") >= least))
     return shares.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def drop_boilerplate(
     docs: DataFrame, ratio: float = 0.08, least: int = 5, host: str = "source", text: str = "text", counts: tuple[str, str] | None = None,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of its host taken out of each text, other columns unchanged.
 
     ``counts`` names two bigint columns to add: lines of the text before, and lines dropped. All rows stay,
     also those left with an empty text. Rows without a host or with NULL text keep their text; lines without
     a word stay in place. ``ratio`` and ``least`` hold for hosts of any size: a host with fewer than ``least``
-    pages keeps all lines. The defaults are those of the query and its twin; corpora take ``SHARE`` and ``PAGES``. The hosts' arrays meet the rows by host: broadcast only below Spark's threshold,
+    pages keeps all lines. The defaults are those of the query and its twin; corpora take ``SHARE`` and ``PAGES``.
+    ``copies`` is that of ``line_shares``. The hosts' arrays meet the rows by host: broadcast only below Spark's threshold,
     else in a sort-merge join whose large hosts are split at run time.
     """
-    rare = boilerplate(docs, ratio, least, host, text)
+    rare = boilerplate(docs, ratio, least, host, text, copies)
     key, drop = free_name(docs, "site"), free_name(docs, "dropped")
     met = docs.join(rare.select(F.col("host").alias(key), F.col("lines").alias(drop)), F.col(f"`{host}`") == F.col(key), "left")
     body = F.col(f"`{text}`").cast("string")

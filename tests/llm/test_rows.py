@@ -117,6 +117,23 @@ def test_planted_ad_line(spark):
     assert got[33]["n_chars"] == len("page 33\nbody 33") and few in got[1]["text"]
 
 
+def test_near_copies_count_once(spark):
+    """A group of near copies with a third of a host keeps its article; the host's footer goes from all pages."""
+    r = random.Random(5)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    article = [words(20) for _ in range(6)]
+    pages = []
+    for i in range(150):
+        own = [words(20) for _ in range(3)]
+        if i % 3 == 0:
+            own = list(article)
+            own[i % 6] = own[i % 6].rsplit(" ", 1)[0] + f" changed{i}"
+        pages.append((i, "h", "\n".join([*own, "imprint and terms"])))
+    df = spark.createDataFrame(pages, "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_boilerplate(spark, df, "").collect()}
+    assert [got[i] for i, _, _ in pages] == [t.replace("\nimprint and terms", "") for _, _, t in pages]
+
+
 def test_secrets(spark, rows, empty, tmp_path):
     texts = [
         "token = 'abcdefghijkl' ABCDEF0123456789abcdef", "PassWord: short", 'Api_Key:"aaaaaaaaaaaa"', "ſecret=aaaaaaaaaaaaaaa", "apıkey=aaaaaaaaaaaaaaa",
