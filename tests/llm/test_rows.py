@@ -117,6 +117,15 @@ def test_planted_ad_line(spark):
     assert got[33]["n_chars"] == len("page 33\nbody 33") and few in got[1]["text"]
 
 
+def test_small_hosts(spark):
+    """A line on 3 of a host's 10 pages goes, one on 2 of them stays, and a host of 2 pages keeps all."""
+    pages = [(i, "h", f"body {i}" + "\nmenu" * (i < 3) + "\nquote" * (3 <= i < 5)) for i in range(10)]
+    pages += [(20 + i, "two", f"body {i}\nmenu") for i in range(2)]
+    df = spark.createDataFrame(pages, "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(df, line_dedup.SHARE, line_dedup.PAGES).collect()}
+    assert [got[i] for i, _, _ in pages] == [t.replace("\nmenu", "") if h == "h" else t for _, h, t in pages]
+
+
 def test_near_copies_count_once(spark):
     """A group of near copies with a third of a host keeps its article; the host's footer goes from all pages."""
     r = random.Random(5)
