@@ -14,6 +14,7 @@ characters have, or where it has to be cut for a budget, is read from them witho
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,9 +29,14 @@ from .texts import slices
 
 LIMIT = 2048
 CACHE_CHARS = 4 << 20
-CACHE_WORD = 4096
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+CACHE_PREFIXES, CACHE_WORD = 1 << 19, 64
+#: Classes of bytes: 1 white space, 2 letters, 3 digits, 4 others, and 0 for those that no cut may touch.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 1
+_CLASS[[*range(65, 91), *range(97, 123)]] = 2
+_CLASS[48:58] = 3
+_CLASS[[39, 124, *range(128, 256)]] = 0  # apostrophes make contractions, bars special strings; marks join what is before them
+_ASCII = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")  # how the library cuts text of these characters that has no apostrophe
 #: Characters below this, but for one, are changed by the normalizer one by one.
 _SIMPLE, _ODD = "̀", "İ"
 
@@ -53,6 +59,11 @@ class Merges:
             raise ValueError("a token that two merges make is not supported")
         self.tokens = {*symbols, *self.parts}
         self.longest = max(len(t.removesuffix(mark)) for t in self.tokens)
+        #: symbols of all tokens: 1 if they are one inside a word, 2 at its end, 3 both
+        self.kinds: dict[str, int] = {}
+        for t in self.tokens:
+            bare = t.removesuffix(mark)
+            self.kinds[bare] = self.kinds.get(bare, 0) | (2 if bare != t else 1)
         self.apart_cache: dict[tuple[str, str], bool] = {}
 
     def spine(self, token: str, side: int) -> list[tuple[str, int]]:
@@ -128,6 +139,57 @@ class Word:
         return other
 
 
+class Prefixes:
+    """Prefixes of words met before, as a trie: words that begin alike share the places of what they have in common."""
+
+    def __init__(self, merges: Merges):
+        self.m, self.long = merges, ("", [])
+        self.clear()
+
+    def clear(self) -> None:
+        self.next: dict[int, int] = {}
+        self.last, self.count, self.end_count = [""], [0], [0]
+
+    def counts(self, word: str) -> list[int]:
+        """Counts of the first 1, 2, ... symbols of a word, each taken as a whole word."""
+        if len(word) > CACHE_WORD:  # not kept, but for the latest
+            if word != self.long[0]:
+                w = Word(self.m)
+                w.push(word)
+                self.long = word, [w.ended(i) for i in range(1, len(word) + 1)]
+            return self.long[1]
+        if len(self.last) > CACHE_PREFIXES:
+            self.clear()
+        at, path, follow = 0, [0], self.next
+        for end, symbol in enumerate(word, 1):
+            link = at << 16 | ord(symbol)
+            at = follow.get(link)
+            if at is None:
+                at = follow[link] = self._add(word, end, path)
+            path.append(at)
+        ends = self.end_count
+        return [ends[i] for i in path[1:]]
+
+    def _add(self, word: str, end: int, path: list[int]) -> int:
+        kinds, last, count, mark = self.m.kinds, self.last, self.count, self.m.mark
+        inside = ended = 0
+        for start in range(max(0, end - self.m.longest), end):
+            token = word[start:end]
+            kind = kinds.get(token)
+            if kind is None:
+                continue
+            before = path[start]
+            if kind & 1 and not inside and (not start or self.m.apart(last[before], token)):
+                inside = count[before] + 1
+                last.append(token)
+            if kind & 2 and not ended and (not start or self.m.apart(last[before], token + mark)):
+                ended = count[before] + 1
+            if inside and ended:
+                break
+        count.append(inside), self.end_count.append(ended)
+        return len(last) - 1
+
+
 class Counter:
     """Token counts of all prefixes of a piece of text, as the tokenizers library would count each of them."""
 
@@ -140,24 +202,14 @@ class Counter:
         model = spec["model"]
         pairs = [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in model["merges"]]
         made = {a + b for a, b in pairs}
-        mark = model["end_of_word_suffix"] or ""
+        mark = model["end_of_word_suffix"]
+        if not mark:
+            raise ValueError("the vocabulary has no mark of word ends")
         self.merges = Merges(pairs, [t for t in model["vocab"] if t not in made], mark)
         self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.codes = {i: self.cut(chr(i))[0][0] for i in range(128) if self.cut(chr(i))}
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.words: dict[str, list[int]] = {}
-
-    def word(self, symbols: str) -> list[int]:
-        """Counts of the first 1, 2, ... symbols of a word, each taken as a whole word."""
-        held = self.words.get(symbols)
-        if held is None:
-            w = Word(self.merges)
-            w.push(symbols)
-            held = [w.ended(i) for i in range(1, len(symbols) + 1)]
-            if len(symbols) <= CACHE_WORD:
-                if len(self.words) > 200_000:
-                    self.words.clear()
-                self.words[symbols] = held
-        return held
+        self.word = Prefixes(self.merges).counts
 
     def whole(self, text: str) -> int:
         """Tokens of a normalized text that holds no special string."""
@@ -184,6 +236,8 @@ class Counter:
         if not text:
             return []
         simple = max(text) < _SIMPLE and _ODD not in text
+        if simple and "'" not in text:
+            return self._plain(text)
         starts = list(range(len(text))) if simple else [0, *(i for i in range(1, len(text)) if _begins(text[i]))]
         ends = [*starts[1:], len(text)]
         forms = list(self.normal(text)) if simple else [self.normal(text[a:b]) for a, b in zip(starts, ends)]
@@ -210,6 +264,30 @@ class Counter:
             out[b - 1] = n
         return out
 
+    def _plain(self, text: str) -> list[int]:
+        """As ``ordinary``, where each character is normalized by itself and each prefix of a word is one word."""
+        if text.isascii():
+            pieces = [(w.group().translate(self.codes) if not w.group().isalnum() else w.group(), w.span()) for w in _ASCII.finditer(text.lower())]
+        else:
+            normal = self.normal(text)
+            if len(normal) < len(text):  # white space that the normalizer draws together
+                normal = "".join(map(self.normal, text))
+            pieces = self.cut(normal)
+        out, before = [], 0
+        for symbols, (a, b) in pieces:
+            if len(out) < a:  # white space
+                out += [before] * (a - len(out))
+            counts = self.word(symbols)
+            if len(symbols) > b - a:  # two symbols for each character past ASCII
+                place, kept = -1, []
+                for c in normal[a:b]:
+                    place += 1 if c < "\x80" else 2
+                    kept.append(counts[place])
+                counts = kept
+            out += [before + n for n in counts] if before else counts
+            before = out[-1]
+        return out + [before] * (len(text) - len(out))
+
     def _part(self, normal: str, piece: tuple, end: int) -> int:
         """Tokens of a piece that is cut off at ``end``."""
         symbols, a, b = piece
@@ -259,23 +337,28 @@ class Steps:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat, self.n, self.starts, self.sizes = np.zeros(1 << 16, np.int32), 0, [], []
-
-    def number(self, piece: bytes) -> int:
-        held = self.at.get(piece)
-        if held is not None:
-            return held
-        text = piece.decode()
-        counts = np.zeros(len(text), np.int64) if _WHITE[piece[0]] else np.array(self.counter.piece(text), np.int64)
-        steps = np.diff(counts, prepend=0)
-        if self.n + len(steps) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(steps)), np.int32)])
-        self.flat[self.n : self.n + len(steps)] = steps
-        self.starts.append(self.n), self.sizes.append(len(steps))
-        self.n += len(steps)
-        self.at[piece] = len(self.starts) - 1
-        return self.at[piece]
+        self.at: dict[str, int] = {}
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The place of each piece in ``starts``; new ones are counted and added."""
+        counts, ends, at = [], [], self.at
+        base = len(at)
+        for piece in pieces:
+            if piece not in at:
+                at[piece] = base + len(ends)
+                if piece.isascii() and piece.isalpha():
+                    counts += self.counter.word(piece.lower())
+                else:
+                    counts += [0] * len(piece) if piece[0] in " \t\n\v\f\r" else self.counter.piece(piece)
+                ends.append(len(counts))
+        if ends:
+            steps = np.diff(np.array(counts, np.int32), prepend=0)
+            first = np.array([0, *ends[:-1]])
+            steps[first] = np.array(counts, np.int32)[first]
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.array(ends)])
+            self.flat = np.concatenate([self.flat, steps])
+        return np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
 
 
 PREFIXES = T.StructType([
@@ -285,16 +368,22 @@ PREFIXES = T.StructType([
 
 
 def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Runs of white space and of other characters, and for each text the number of its first one (one entry more)."""
-    texts = pa.concat_arrays([texts.cast(pa.large_binary())])
+    """Pieces whose counts add up, and for each text the number of its first one (one entry more).
+
+    Texts are cut beside white space, and between letters, digits and others where the library always cuts.
+    """
+    texts = pa.concat_arrays([texts.cast(pa.large_string())])
     ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
     bounds = ends - ends[0]
-    white = _WHITE[data]
-    change = np.flatnonzero(white[1:] != white[:-1]) + 1
-    cuts = np.unique(np.concatenate([change, bounds]))
+    kind = _CLASS[data]
+    white = kind == 1
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = ((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) | (white[1:] != white[:-1])
+    cut[bounds] = True
+    cuts = np.flatnonzero(cut)
     offsets = pa.py_buffer(cuts.astype(np.int64).tobytes())
-    pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(data.tobytes())])
+    pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, offsets, pa.py_buffer(data.tobytes())])
     return pieces, np.searchsorted(cuts, bounds)
 
 
@@ -305,11 +394,11 @@ def _measured(texts: pa.Array, steps: Steps) -> Iterator[tuple[int, np.ndarray]]
     if coded is None:
         yield from ((0, np.zeros(0, np.int32)) for _ in range(len(texts)))
         return
-    if steps.n > CACHE_CHARS:
+    if len(steps.flat) > CACHE_CHARS:
         steps.clear()
-    number = np.array([steps.number(p) for p in coded.dictionary.to_pylist()], np.int64)
-    each = number[coded.indices.to_numpy()]
-    starts, sizes = np.array(steps.starts, np.int64)[each], np.array(steps.sizes, np.int64)[each]
+    each = steps.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    starts = steps.starts[each]
+    sizes = steps.starts[each + 1] - starts
     ends = np.concatenate([[0], np.cumsum(sizes)])
     flat = steps.flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
     widths = pc.binary_length(texts).to_numpy(zero_copy_only=False)

@@ -66,6 +66,8 @@ def test_wide_steps_and_a_full_cache(monkeypatch):
         def piece(self, text):
             return [200 * (i % 2) for i in range(len(text))]
 
+        word = piece
+
     monkeypatch.setattr(token_counts, "CACHE_CHARS", 4)
     import pyarrow as pa
 
