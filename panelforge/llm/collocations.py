@@ -31,8 +31,9 @@ from .texts import slices
 
 LEAST, TOP, WITHIN = 10, 2000, 50
 CELLS = 1 << 18
-BUDGET = 1 << 19
-CHUNK = 1 << 20
+BUDGET = 1 << 18
+CHUNK = 1 << 18
+SLICE_BYTES = 1 << 20
 NONE = np.uint64(0)  # no word: a hash of 0 is put up to 1
 #: Classes of bytes: 0 in a word, 1 between words, 2 between pieces.
 _CLASS = np.zeros(256, np.uint8)
@@ -82,7 +83,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sorted(set(names))
         which = np.array([seen.index(n) for n in names], np.int64)
         done = 0
-        for part in slices(batch.column("text")):
+        for part in slices(batch.column("text"), SLICE_BYTES):
             codes, words, _, text = _words(part)
             lang = which[done + text]
             done += len(part)
@@ -94,6 +95,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(seen).take(pa.array(lang)), pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(code)), pa.array(counts.astype(np.int64))],
                 ["h", "lang", "word", "c"])
+    pa.default_memory_pool().release_unused()  # the worker stays, for other tasks
 
 
 def _groups(totals: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +139,7 @@ def _suffixes(plan):
             own = dict(zip(names := sorted(set(batch.column("lang").to_pylist())), _lang_hashes(names).tolist()))
             langs = np.array([own[n] for n in batch.column("lang").to_pylist()], np.uint64)
             done = 0
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), SLICE_BYTES):
                 codes, words, piece, text = _words(part)
                 h = _hashes(codes, words, langs[done + text])
                 done += len(part)
@@ -154,6 +156,8 @@ def _suffixes(plan):
                     held, size = [], 0
         if size:
             yield added(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        pa.default_memory_pool().release_unused()  # the worker stays, for other tasks
 
     return run
 
