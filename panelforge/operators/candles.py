@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window as W, functions as F
 
 from ..functions.scalars import div0
-from .ordered import Step, by_key, held, running, windowed
+from .ordered import AUTO, Step, by_key, held, running, windowed
+from .scans import affine, machine
 from .windows import decay_reach, decayed_sums
 
 
@@ -270,3 +271,103 @@ def volume_lines(df, keys, order, n=14):
     out = by_key(df, keys, order, signed, before=n)
     out = running(out, keys, order, ["_obv", "_adi", "_vpt"], ["sum"], names=lambda c, a: c[1:])
     return out.drop("_obv", "_adi", "_vpt")
+
+
+def adaptive_mean(df, keys, order, col="close", n=10, fast=2, slow=30, name="kama", split=AUTO):
+    """Kaufman's adaptive mean: each row's own weight, from the share of direction in the movement of n rows.
+
+    It starts with the value of the first row that has n rows before it; until then it is NULL.
+    """
+    weights = 2 / (fast + 1), 2 / (slow + 1)
+
+    def fn(d, ks):
+        w = _w(ks, order)
+        d = d.withColumn("_move", F.abs(F.col(col) - F.lag(col).over(w)))
+        f = w.rowsBetween(-(n - 1), 0)
+        way = F.abs(F.col(col) - F.lag(col, n).over(w))
+        share = div0(way, F.when(F.count("_move").over(f) == n, F.sum("_move").over(f)))
+        weight = F.pow(share * (weights[0] - weights[1]) + weights[1], 2)
+        ready = F.lag(F.lit(1), n).over(w).isNotNull()
+        first = ready & F.lag(F.lit(1), n + 1).over(w).isNull()
+        return d.withColumns({
+            "_a": F.when(first, 0.0).when(ready, 1 - weight), "_b": F.when(first, F.col(col)).when(ready, weight * F.col(col))}).drop("_move")
+
+    d = by_key(df, keys, order, fn, before=n + 1, split=split).withColumnsRenamed({"_a": "_kept", "_b": "_given"})
+    return affine(d, keys, order, F.col("_kept"), F.col("_given"), name, split).drop("_kept", "_given")
+
+
+def negative_volume(df, keys, order, start=1000.0, name="nvi", split=AUTO):
+    """Negative volume index: grows with the price on rows whose volume is below that of the row before."""
+    def fn(d, ks):
+        w = _w(ks, order)
+        grown = F.try_divide(F.col("close"), F.lag("close").over(w))
+        fewer = F.coalesce(F.col("volume") < F.lag("volume").over(w), F.lit(False))
+        first = F.lag(F.lit(1)).over(w).isNull()
+        return d.withColumns({"_kept": F.when(first, 0.0).when(fewer, grown).otherwise(1.0), "_given": F.when(first, start).otherwise(0.0)})
+
+    d = by_key(df, keys, order, fn, before=1, split=split)
+    return affine(d, keys, order, F.col("_kept"), F.col("_given"), name, split).drop("_kept", "_given")
+
+
+@windowed
+def money_flow(order, n=20, span=13, mean=14, scale=100_000_000):
+    """Chaikin money flow over n rows, force index (exponential mean of span), ease of movement (times scale) and its mean of rows."""
+    def fn(d, ks):
+        w, f, g = _w(ks, order), _w(ks, order).rowsBetween(-(n - 1), 0), _w(ks, order).rowsBetween(-(mean - 1), 0)
+        spread = F.col("high") - F.col("low")
+        d = d.withColumns({
+            "_flow": div0((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), spread) * F.col("volume"),
+            "_force": (F.col("close") - F.lag("close").over(w)) * F.col("volume"),
+            "_fresh": F.lag(F.lit(1), 2).over(w).isNull(),
+            "ease": F.try_divide((F.col("high") - F.lag("high").over(w) + F.col("low") - F.lag("low").over(w)) * spread, 2 * F.col("volume")) * scale,
+        })
+        alpha = 2 / (span + 1)
+        entry = F.when(F.col("_fresh"), F.col("_force")).otherwise(F.col("_force") * alpha)
+        d = decayed_sums(d, {"force": entry}, 1 - alpha, ks, order)
+        return d.withColumns({
+            "cmf": F.when(_full("close", f, n), F.try_divide(F.sum("_flow").over(f), F.sum("volume").over(f))),
+            "force": F.when(F.lag(F.lit(1), span).over(w).isNotNull(), F.col("force")),
+            "ease_mean": F.when(F.count("ease").over(g) == mean, F.avg("ease").over(g)),
+        }).drop("_flow", "_force", "_fresh")
+
+    return Step(max(n, mean + 1, decay_reach(1 - 2 / (span + 1)) + span + 1), 0, fn)
+
+
+def _stop(first, most):
+    """Step of the stop-and-reverse machine; its state is (rows seen, stop, extreme of the trend, speed, rising)."""
+    def step(state, values):
+        high, low, close, high1, low1, high2, low2 = values
+        if high is None or low is None or close is None:
+            return state, (None, None)
+        if state is None:
+            return (1, close, high, first, True), (None, None)
+        seen, stop, extreme, speed, rising = state
+        if seen < 2:
+            return (2, close, extreme, speed, rising), (None, None)
+        stop += speed * (extreme - stop)
+        reach, risk, side = (high, low, 1) if rising else (low, high, -1)
+        if (stop - risk) * side > 0:  # crossed: the old extreme is the new stop, on the other side
+            stop, extreme, speed, rising = extreme, risk, first, not rising
+        else:
+            if (reach - extreme) * side > 0:
+                extreme, speed = reach, min(speed + first, most)
+            for before in (low2, low1) if rising else (high2, high1):
+                if before is not None and (stop - before) * side > 0:  # never inside the two rows before
+                    stop = before
+                    break
+        return (seen + 1, stop, extreme, speed, rising), ((stop, None) if rising else (None, stop))
+
+    return step
+
+
+def stop_and_reverse(df, keys, order, first=0.02, most=0.2, split=AUTO):
+    """Parabolic stop and reverse: psar_up while the trend rises, psar_down while it falls; NULL on a key's first two rows."""
+    def fn(d, ks):
+        w = _w(ks, order)
+        return d.withColumns({f"_{c}{i}": F.lag(c, i).over(w) for c in ("high", "low") for i in (1, 2)})
+
+    d = by_key(df, keys, order, fn, before=2, split=split)
+    cols = ["high", "low", "close", "_high1", "_low1", "_high2", "_low2"]
+    state = "seen bigint, stop double, extreme double, speed double, rising boolean"
+    out = machine(d, keys, order, cols, _stop(first, most), state, "psar_up double, psar_down double", split)
+    return out.drop("_high1", "_low1", "_high2", "_low2")

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, Window as W, functions as F
 
-from .ordered import AUTO, Step, attach, fill, listed, positions, running, same_keys, splitters, windowed
+from .ordered import AUTO, Step, attach, chain, fill, listed, positions, running, same_keys, splitters, windowed
 from ..functions.scalars import clip, correlation, frac_part, int_part
 
 
@@ -391,3 +391,52 @@ def rolling_share_weight(df, key, step, value, scale_col, win, name="weight"):
     out = transform_agg(out, step, {"_lo": F.min("_w"), "_hi": F.max("_w")})
     scaled = F.try_divide(F.col("_w") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     return out.withColumn(name, scaled).drop("_sum", "_all", "_w", "_lo", "_hi")
+
+
+@windowed
+def rolling_scale(order, col, win=90, least=28, name="scale"):
+    """Mean squared step between known values from the first one that is not 0 in the window of ``win`` rows.
+
+    0 if the window has fewer than ``least`` known values, or no two values to step between; a window of 0s has
+    steps of 0. Constant work per row: running sums of squared steps, read at the row and at the first non-zero
+    row at or after the window's start.
+    """
+    def fn(d, ks):
+        w = _w(ks, order)
+        past = w.rowsBetween(W.unboundedPreceding, 0)
+        ahead = w.rowsBetween(0, W.unboundedFollowing)
+        x = F.col(col).cast("double")
+        d = d.withColumn("_prev", F.last(x, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+        d = d.withColumn("_sq", F.pow(x - F.col("_prev"), 2))
+        d = d.withColumns({"_sum": F.coalesce(F.sum("_sq").over(past), F.lit(0.0)), "_cnt": F.count("_sq").over(past), "_known": F.count(x).over(past), "_rn": F.row_number().over(w)})
+        mark = F.when(x != 0, F.struct("_rn", "_sum", "_cnt"))
+        d = d.withColumn("_next", F.first(mark, ignorenulls=True).over(ahead))
+        # the window starts win - 1 rows back, or at the first row there is
+        d = d.withColumns({
+            "_at": F.when(F.col("_rn") >= win, F.lag("_next", win - 1).over(w)).otherwise(F.first("_next").over(past)),
+            "_in": F.col("_known") - F.coalesce(F.lag("_known", win).over(w), F.lit(0)),
+        })
+        live = F.col("_at._rn") <= F.col("_rn")
+        steps = F.col("_cnt") - F.col("_at._cnt")
+        mean = F.when(live & (steps > 0), (F.col("_sum") - F.col("_at._sum")) / steps)
+        scale = F.when(F.col("_in") >= least, F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+        return d.withColumn(name, scale).drop("_prev", "_sq", "_sum", "_cnt", "_known", "_rn", "_next", "_at", "_in")
+
+    return Step(2 * win, win, fn)
+
+
+def sample_weight(df, key, step, value, amount, win=28, shift=28, scale_win=90, least=28, name="weight"):
+    """Weight of a row by its key's share of recent amounts, less where the value is erratic, from 0 to 1 over the table.
+
+    The share is that of the key in the sum of ``amount`` over ``win`` rows, ``shift`` rows back, among all keys of the
+    step, 0 if not full; it is divided by 1 + the root of ``rolling_scale`` of ``value``.
+    """
+    keys, order = listed(key), listed(step)
+    sums = rolling.step(order, amount, [win], ["sum"], shift=shift, names=lambda a, w: "_recent")
+    both = chain(df, keys, order, sums, rolling_scale.step(order, value, scale_win, least, "_scale"))
+    out = transform_agg(both, step, {"_all": F.sum("_recent")})
+    share = F.coalesce(F.try_divide(F.col("_recent"), F.col("_all")), F.lit(0.0))
+    out = out.withColumn("_weight", share / (F.sqrt("_scale") + 1))
+    ends = out.agg(F.min("_weight").alias("_lo"), F.max("_weight").alias("_hi"))
+    out = attach(out, ends)
+    return out.withColumn(name, F.try_divide(F.col("_weight") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_recent", "_all", "_weight", "_scale", "_lo", "_hi")

@@ -120,6 +120,45 @@ def bar_volume_lines(t):
     return _only(C.volume_lines(bars(t), K, H), "obv", "adi", "vpt", "vwap")
 
 
+@query("bar_adaptive", "W42", f"""
+WITH RECURSIVE {BARS}, x AS (SELECT *, row_number() OVER ({W}) AS i, abs(close - lag(close) OVER ({W})) AS move, abs(close - lag(close, 10) OVER ({W})) AS way,
+  close / nullif(lag(close) OVER ({W}), 0) AS grown, coalesce(volume < lag(volume) OVER ({W}), false) AS fewer FROM bars),
+s AS (SELECT *, sum(move) OVER ({W} ROWS 9 PRECEDING) AS path FROM x),
+c AS (SELECT *, pow(CASE WHEN path = 0 THEN 0 ELSE way / path END * (2 / 3.0::DOUBLE - 2 / 31.0::DOUBLE) + 2 / 31.0::DOUBLE, 2) AS k FROM s),
+r AS (SELECT asset, hour, i, CASE WHEN i = 11 THEN close END AS kama, 1000.0::DOUBLE AS nvi FROM c WHERE i = 1 UNION ALL
+  SELECT c.asset, c.hour, c.i, CASE WHEN c.i = 11 THEN c.close ELSE r.kama + c.k * (c.close - r.kama) END, CASE WHEN c.fewer AND c.grown IS NOT NULL THEN r.nvi * c.grown ELSE r.nvi END
+  FROM r JOIN c ON c.asset = r.asset AND c.i = r.i + 1)
+SELECT asset, hour, kama, nvi FROM r""", "kama nvi")
+def bar_adaptive(t):
+    return _only(C.negative_volume(C.adaptive_mean(bars(t), K, H), K, H), "kama", "nvi")
+
+
+@query("bar_money_flow", "W42", f"""
+WITH RECURSIVE {BARS}, x AS (SELECT *, row_number() OVER ({W}) AS i, CASE WHEN high = low THEN 0 ELSE (close - low - (high - close)) / (high - low) END * volume AS flow,
+  (close - lag(close) OVER ({W})) * volume AS fo, (high - lag(high) OVER ({W}) + low - lag(low) OVER ({W})) * (high - low) / nullif(2 * volume, 0) AS ease FROM bars),
+r AS (SELECT asset, i, fo AS force FROM x WHERE i = 2 UNION ALL SELECT x.asset, x.i, r.force * (12 / 14.0::DOUBLE) + x.fo * (2 / 14.0::DOUBLE) FROM r JOIN x ON x.asset = r.asset AND x.i = r.i + 1)
+SELECT x.asset, hour, CASE WHEN count(*) OVER (PARTITION BY x.asset ORDER BY hour ROWS 19 PRECEDING) = 20 THEN sum(flow) OVER (PARTITION BY x.asset ORDER BY hour ROWS 19 PRECEDING) / nullif(sum(volume) OVER (PARTITION BY x.asset ORDER BY hour ROWS 19 PRECEDING), 0) END AS cmf,
+  CASE WHEN x.i > 13 THEN force END AS force, ease, CASE WHEN count(ease) OVER (PARTITION BY x.asset ORDER BY hour ROWS 13 PRECEDING) = 14 THEN avg(ease) OVER (PARTITION BY x.asset ORDER BY hour ROWS 13 PRECEDING) END AS ease_mean
+FROM x LEFT JOIN r ON x.asset = r.asset AND x.i = r.i""", "cmf force ease ease_mean")
+def bar_money_flow(t):
+    return _only(C.money_flow(bars(t), K, H, scale=1), "cmf", "force", "ease", "ease_mean")
+
+
+@query("bar_stops", "W42", f"""
+WITH RECURSIVE {BARS}, x AS (SELECT *, row_number() OVER ({W}) AS i, lag(high) OVER ({W}) AS h1, lag(high, 2) OVER ({W}) AS h2, lag(low) OVER ({W}) AS l1, lag(low, 2) OVER ({W}) AS l2 FROM bars),
+r AS (SELECT asset, hour, i, close AS stop, high AS ext, 0.02::DOUBLE AS speed, true AS rising FROM x WHERE i = 1 UNION ALL
+  SELECT asset, hour, i, CASE WHEN i = 2 THEN close WHEN crossed THEN ext WHEN rising THEN CASE WHEN l2 < s THEN l2 WHEN l1 < s THEN l1 ELSE s END ELSE CASE WHEN h2 > s THEN h2 WHEN h1 > s THEN h1 ELSE s END END,
+    CASE WHEN i = 2 THEN ext WHEN crossed THEN CASE WHEN rising THEN low ELSE high END WHEN rising THEN greatest(ext, high) ELSE least(ext, low) END,
+    CASE WHEN i = 2 THEN speed WHEN crossed THEN 0.02::DOUBLE WHEN (rising AND high > ext) OR (NOT rising AND low < ext) THEN least(speed + 0.02::DOUBLE, 0.2::DOUBLE) ELSE speed END,
+    CASE WHEN i > 2 AND crossed THEN NOT rising ELSE rising END
+  FROM (SELECT x.*, r.ext, r.speed, r.rising, r.stop + r.speed * (r.ext - r.stop) AS s,
+      CASE WHEN r.rising THEN x.low < r.stop + r.speed * (r.ext - r.stop) ELSE x.high > r.stop + r.speed * (r.ext - r.stop) END AS crossed
+    FROM r JOIN x ON x.asset = r.asset AND x.i = r.i + 1))
+SELECT asset, hour, CASE WHEN i > 2 AND rising THEN stop END AS psar_up, CASE WHEN i > 2 AND NOT rising THEN stop END AS psar_down FROM r""", "psar_up psar_down")
+def bar_stops(t):
+    return _only(C.stop_and_reverse(bars(t), K, H), "psar_up", "psar_down")
+
+
 @query("bar_weighted_corr", "M4 M12", f"""
 WITH {BARS}, s AS (SELECT asset, sum(count) AS w, sum(count * open) AS a, sum(count * close) AS b, sum(count * open * open) AS aa, sum(count * close * close) AS bb, sum(count * open * close) AS ab,
   corr(open, close) AS plain, avg(pow(open - close, 2)) AS mse FROM bars GROUP BY 1)

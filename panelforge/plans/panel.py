@@ -285,6 +285,22 @@ def supplier_share_weight(t):
     return N.rolling_share_weight(d, K, MO, "qty", "scale", 4).select("l_suppkey", "month", "weight")
 
 
+@query("supplier_sample_weight", "W30", f"""
+WITH {SM}, z AS (SELECT *, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 3 = 0 THEN 0 ELSE n END::DOUBLE AS x FROM sm),
+f AS (SELECT *, list_filter(list(x) OVER ({W_SM} ROWS 11 PRECEDING), lambda v: v IS NOT NULL) AS l,
+  CASE WHEN count(qty) OVER ({W_SM} ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) = 4 THEN sum(qty) OVER ({W_SM} ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) END AS recent FROM z),
+g AS (SELECT *, CASE WHEN len(l) < 4 THEN [] ELSE l[coalesce(list_position(list_transform(l, lambda v: v <> 0), true), 1) :] END AS s FROM f),
+h AS (SELECT l_suppkey, month, recent / sum(recent) OVER (PARTITION BY month) AS share,
+  coalesce(list_avg(list_transform(range(2, len(s) + 1), lambda i: pow(s[i] - s[i - 1], 2))), 0) AS scale FROM g),
+w AS (SELECT *, coalesce(share, 0) / (sqrt(scale) + 1) AS w FROM h)
+SELECT l_suppkey, month, scale, (w - min(w) OVER ()) / (max(w) OVER () - min(w) OVER ()) AS weight FROM w""", "scale weight")
+def supplier_sample_weight(t):
+    x = F.when(F.col("n") % 7 != 0, F.when(F.col("n") % 3 == 0, 0).otherwise(F.col("n")))
+    d = supplier_month(t).withColumn("x", x)
+    w = N.sample_weight(d, K, MO, "x", "qty", 4, 2, 12, 4)
+    return N.rolling_scale(w, K, MO, "x", 12, 4).select("l_suppkey", "month", "scale", "weight")
+
+
 @query("supplier_log_return", "W32", f"""
 WITH {SM} SELECT l_suppkey, month, ln(qty) - ln(lag(qty, 2) OVER c) AS ret, abs(ln(qty) - ln(lag(qty) OVER c)) AS abs_ret FROM sm WINDOW c AS ({W_SM})""", "ret abs_ret")
 def supplier_log_return(t):
