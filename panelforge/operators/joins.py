@@ -19,6 +19,13 @@ from .ranking import top_rows
 DENSE_CELL = 50_000
 
 
+def with_null_keys(left, right, keys, how="inner"):
+    """Join on keys of the same types where NULL equals NULL, as one struct: a plain equality join, one copy of the keys."""
+    keys = listed(keys)
+    packed = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    return left.withColumn("_same", packed).join(right.withColumn("_same", packed).drop(*keys), "_same", how).drop("_same")
+
+
 def join_blocks(blocks: list[DataFrame], keys, how="inner"):
     """Join feature blocks on the entity key."""
     return reduce(lambda a, b: a.join(b, listed(keys), how), blocks)
@@ -60,7 +67,7 @@ def band_topk_join(left, right, keys, lid, lt, rt, rid, tol, rank, n, unique=Non
     right = right.withColumn("_cell", F.floor(F.col(rt) / tol))
     sizes = right.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
     crowded = sizes.filter(F.col("_c") > dense).select(*keys, "_cell", F.lit(True).alias("_dense"))
-    right = right.join(crowded, keys + ["_cell"], "left")  # no hint: the list grows with the data
+    right = with_null_keys(right, crowded, keys + ["_cell"], "left")  # no hint: the list grows with the data
     bands = left.select(*keys, lid, F.col(lt).alias("_lt"))
     cell = F.floor(F.col("_lt") / tol)
     bands = bands.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
@@ -68,11 +75,11 @@ def band_topk_join(left, right, keys, lid, lt, rt, rid, tol, rank, n, unique=Non
         "_lo": F.greatest(F.col("_lt") - tol, F.col("_cell") * tol),
         "_hi": F.least(F.col("_lt") + tol + 1, (F.col("_cell") + 1) * tol),
     }).filter(F.col("_lo") < F.col("_hi"))
-    bands = bands.join(crowded, keys + ["_cell"], "left")
+    bands = with_null_keys(bands, crowded, keys + ["_cell"], "left")
     own = [c for c in right.columns if c not in keys and not c.startswith("_")]
 
     plain_r = right.filter(F.col("_dense").isNull()).select(*keys, "_cell", *own)
-    sparse = bands.filter(F.col("_dense").isNull()).join(plain_r, keys + ["_cell"])
+    sparse = with_null_keys(bands.filter(F.col("_dense").isNull()), plain_r, keys + ["_cell"])
     sparse = sparse.filter((F.col(rt) >= F.col("_lo")) & (F.col(rt) < F.col("_hi"))).select(*keys, lid, *own)
 
     levels = range(max(1, math.ceil(math.log2(tol + 1))) + 1)
@@ -88,7 +95,7 @@ def band_topk_join(left, right, keys, lid, lt, rt, rid, tol, rank, n, unique=Non
         parts.append(F.when((l < r) & (F.pmod(l, F.lit(2)) == 1), block(l)))
         parts.append(F.when((l < r) & (F.pmod(r, F.lit(2)) == 1), block(r - 1)))
     wanted = bands.filter(F.col("_dense")).withColumn("_blk", F.explode(F.array_compact(F.array(*parts))))
-    crowd = wanted.select(*keys, lid, "_blk.j", "_blk.b").join(packed, keys + ["j", "b"]).select(*keys, lid, *own)
+    crowd = with_null_keys(wanted.select(*keys, lid, "_blk.j", "_blk.b"), packed, keys + ["j", "b"]).select(*keys, lid, *own)
     return _best(sparse.unionByName(crowd), keys + [lid], n, order, unique)
 
 
@@ -108,13 +115,13 @@ def neighbors_join(left, right, keys, lid, lt, rt, rid, cols, n, direction="befo
     keys, cols = listed(keys), listed(cols)
     both = _both(left, right, keys, lid, lt, rt, rid, left_first=direction == "before")
     pos = both.filter(F.col("_isr") == 1).select(*keys, F.col("_id").alias(rid), F.col("_before").alias("_pos"))
-    numbered = right.select(*keys, rid, *cols).join(pos, keys + [rid]).withColumn("_blk", F.floor((F.col("_pos") - 1) / n))
+    numbered = with_null_keys(right.select(*keys, rid, *cols), pos, keys + [rid]).withColumn("_blk", F.floor((F.col("_pos") - 1) / n))
     at = both.filter(F.col("_isr") == 0).select(*keys, F.col("_id").alias(lid), F.col("_before").alias("_c"))
     lo, hi = (F.col("_c") - n + 1, F.col("_c")) if direction == "before" else (F.col("_c") + 1, F.col("_c") + n)
     at = at.withColumns({"_lo": F.greatest(lo, F.lit(1)), "_hi": hi})
     want = at.filter(F.col("_hi") >= F.col("_lo"))
     want = want.withColumn("_blk", F.explode(F.sequence(F.floor((F.col("_lo") - 1) / n), F.floor((F.col("_hi") - 1) / n))))
-    met = want.join(numbered.drop(rid), keys + ["_blk"]).filter(F.col("_pos").between(F.col("_lo"), F.col("_hi")))
+    met = with_null_keys(want, numbered.drop(rid), keys + ["_blk"]).filter(F.col("_pos").between(F.col("_lo"), F.col("_hi")))
     key = -F.col("_pos") if direction == "before" else F.col("_pos")
     packed = met.groupBy(*keys, lid).agg(F.sort_array(F.collect_list(F.struct(key.alias("_k"), *cols))).alias("_a"))
 
@@ -122,7 +129,7 @@ def neighbors_join(left, right, keys, lid, lt, rt, rid, cols, n, direction="befo
         return F.transform("_a", lambda x: x[c]).alias(f"{c}_{direction}")
 
     packed = packed.select(*keys, lid, *[field(c) for c in cols])
-    out = left.select(*keys, lid).join(packed, keys + [lid], "left")
+    out = with_null_keys(left.select(*keys, lid), packed, keys + [lid], "left")
     return out.withColumns({f"{c}_{direction}": F.coalesce(F.col(f"{c}_{direction}"), F.array()) for c in cols})
 
 
@@ -141,8 +148,8 @@ def between_neighbors_join(left, right, keys, lid, lt, rt, rid, cols):
     ahead = lambda d, ks: d.withColumn("_next", F.lead("_t").over(W.partitionBy(*ks).orderBy("_t", lid)))
     lefts = by_key(lefts, keys, ["_t", lid], ahead, after=1)
     lefts = lefts.withColumn("_gap", F.explode(F.array(F.col("_gap") - 1, F.col("_gap"))))
-    met = lefts.join(gaps, keys + ["_gap"]).filter(F.col("_next").isNull() | (F.col("_rt") < F.col("_next")))
-    return met.select(*keys, lid, rid).join(right.select(*keys, rid, *listed(cols)), keys + [rid])
+    met = with_null_keys(lefts, gaps, keys + ["_gap"]).filter(F.col("_next").isNull() | (F.col("_rt") < F.col("_next")))
+    return with_null_keys(met.select(*keys, lid, rid), right.select(*keys, rid, *listed(cols)), keys + [rid])
 
 
 def in_intervals(points, intervals, keys, time, pid, start="start", end="end"):
