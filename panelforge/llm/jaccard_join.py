@@ -48,8 +48,10 @@ FRONT = 0.4
 ORDERS = 3
 SAMPLE_DOCS, SAMPLE_LEAST = 5_000, 3
 PART_SHINGLES = 1 << 19
-CHUNK_SHINGLES = 1 << 20
+CHUNK_SHINGLES = 1 << 18
 BLOCK_CLASSES = 512
+PART_BYTES = 1 << 20
+SEEN = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,6 +104,18 @@ def _among(tokens: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, tokens), len(held) - 1)] == tokens
 
 
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The texts in parts of bounded size, so that what is made of them is bounded too."""
+    for texts in batches:
+        yield from slices(texts, PART_BYTES)
+    _freed()
+
+
+def _freed() -> None:
+    """Give back what Arrow keeps: a worker stays alive for other tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+
+
 def _fingerprint(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
@@ -143,7 +157,7 @@ def _first_order(words: int, near: int, held):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         frequent = held.value
-        for texts in batches:
+        for texts in _parts(batches):
             n, fp, n_front, front, rest = [], [], [], [], []
             for tokens in shingle_sets(texts, words):
                 size = int(np.searchsorted(tokens, cut))
@@ -182,6 +196,8 @@ def _packed(parts: int, share: float):
             for fp, front in zip(batch.column("fp").to_pylist(), batch.column("front")):
                 if fp in seen:
                     continue
+                if len(seen) >= SEEN:  # repeats that are let through are removed later
+                    seen.clear()
                 seen.add(fp)
                 mine = np.frombuffer(front.as_buffer(), np.uint64)
                 tokens.append(mine), fps.append(fp)
@@ -191,6 +207,8 @@ def _packed(parts: int, share: float):
                     tokens, fps, held = [], [], 0
         if held:
             yield emit(tokens, fps)
+        tokens, fps = [], []
+        _freed()
 
     return run
 
@@ -212,20 +230,37 @@ def _counted(group: pa.Table) -> pa.Table:
 def _indexer(near: int, share: float):
     """(fp, n, token, place): the shared shingles in the prefix, for each class with any."""
 
+    cut = np.uint64(int(share * 2**64)) if share < 1 else None
+
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        fps, ns, tokens, owns = zip(*held)
+        sizes = np.array([len(t) for t in tokens])
+        places = np.arange(sizes.sum()) + np.repeat(np.array(owns) - (np.cumsum(sizes) - sizes), sizes)
+        repeated = [np.repeat(np.array(x, np.int64), sizes) for x in (fps, ns)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*repeated, np.concatenate(tokens), places.astype(np.int64))], ["fp", "n", "token", "place"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            fps, ns, tokens, places = [], [], [], []
-            for fp, n, n_front, rest, shared in zip(*[batch.column(c).to_pylist() for c in ("fp", "n", "n_front", "rest", "shared")]):
-                rest = np.frombuffer(rest, np.int64)
-                often = int(np.sum(rest.view(np.uint64) < np.uint64(int(share * 2**64)))) if share < 1 else len(rest)
-                own = n_front - often - len(shared)  # front shingles of this class alone come first
-                ranked = [t for _, t in sorted((s["df"], s["token"]) for s in shared)] + rest.tolist()
-                mine = ranked[: max(0, prefix_size(n, near) - own)]
-                fps += [fp] * len(mine)
-                ns += [n] * len(mine)
-                tokens += mine
-                places += range(own, own + len(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (fps, ns, tokens, places)], ["fp", "n", "token", "place"])
+            shared = batch.column("shared")
+            ends = shared.offsets.to_numpy()
+            df, token = (shared.values.field(c).to_numpy() for c in ("df", "token"))
+            for i, (fp, n, n_front) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("fp", "n", "n_front")])):
+                rest = np.frombuffer(batch.column("rest")[i].as_buffer(), np.int64)
+                of = slice(ends[i], ends[i + 1])
+                often = len(rest) if cut is None else int(np.sum(rest.view(np.uint64) < cut))
+                own = n_front - often - (ends[i + 1] - ends[i])  # front shingles of this class alone come first
+                mine = np.concatenate([token[of][np.lexsort((token[of], df[of]))], rest])[: max(0, prefix_size(n, near) - own)]
+                if len(mine):
+                    held.append((fp, n, mine, own))
+                    size += len(mine)
+                if size >= CHUNK_SHINGLES:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+        held = []
+        _freed()
 
     return run
 
@@ -262,7 +297,7 @@ SETS = T.StructType([
 def _set_reader(words: int, near: int, orders: int, held):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         frequent = held.value
-        for texts in batches:
+        for texts in _parts(batches):
             sets = list(shingle_sets(texts, words))
             often = [_among(s, frequent) for s in sets]
             later = [[_signed(np.sort(later_prefix(s, k, frequent, near))) for k in range(2, orders)] for s in sets]

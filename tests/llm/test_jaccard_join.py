@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelforge.llm import jaccard_join
@@ -109,3 +111,21 @@ def test_prefix_size():
     for n in range(1, 300):
         need = next(k for k in range(n + 1) if 100 * k >= 80 * n)
         assert jaccard_join.prefix_size(n) == n - need + 1
+
+
+def test_indexer_on_many_near_copies():
+    """3,000 classes with 400 shared shingles each: in bounded parts, equal to a sort of each class."""
+    r = np.random.default_rng(2)
+    token = r.integers(-(2**62), 2**62, (3000, 400))
+    df = r.integers(2, 50, (3000, 400))
+    pairs = pa.StructArray.from_arrays([pa.array(df.ravel()), pa.array(token.ravel())], ["df", "token"])
+    shared = pa.ListArray.from_arrays(pa.array(np.arange(0, 400 * 3001, 400, np.int32)), pairs)
+    rest = np.array([7, 8], np.int64).tobytes()
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(3000)), pa.array([1000] * 3000), pa.array([450] * 3000), pa.array([rest] * 3000, pa.binary()), shared], ["fp", "n", "n_front", "rest", "shared"])
+    made = list(jaccard_join._indexer(80, 1.0)(iter([batch])))
+    size = jaccard_join.prefix_size(1000) - (450 - 2 - 400)
+    assert max(m.num_rows for m in made) < jaccard_join.CHUNK_SHINGLES + 1000 and sum(m.num_rows for m in made) == 3000 * size
+    first = made[0].to_pydict()
+    want = [t for _, t in sorted(zip(df[0].tolist(), token[0].tolist()))] + [7, 8]
+    assert first["token"][:size] == want[:size] and first["place"][:size] == list(range(48, 48 + size))
