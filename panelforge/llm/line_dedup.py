@@ -3,13 +3,15 @@
 The share of a line is the number of the host's pages that contain it, divided by the host's pages.
 Lines above a share are dropped from the host's pages. Exact copies of a page on one host count as one page:
 else the copies of a single article would make each of its lines look like boilerplate. Near copies do so too
-where the caller names them.
+where the caller asks for it: pages are sketched by their smallest shingle hashes, and a page whose sketch is
+half shared with others of its host counts as that part of a page.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stored
 from .registry import query, table
 from .texts import free_name
 
@@ -18,6 +20,11 @@ from .texts import free_name
 #: hosts for a higher share: 30 % of 10 pages, 6 % of 50.
 SHARE, PAGES = 0.01, 3
 
+#: Hashes of a page's sketch. Near copies (80 % of all shingles in common) share half of 16 with a chance above 99.9 %.
+SKETCH = 16
+#: One page, as a whole number that parts of a page divide; sums stay exact in 64 bits up to 2 ** 33 pages a host.
+UNIT = 1 << 30
+
 
 def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
@@ -37,43 +44,77 @@ def page_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def line_shares(docs: DataFrame, host: str = "source", text: str = "text", copies: DataFrame | None = None) -> DataFrame:
+def sketch(text: Column) -> Column:
+    """The ``SKETCH`` smallest hashes of a text's different 5-word shingles that begin with an anchor; words are in lower case.
+
+    Anchors are the words whose hash is divisible by 4, so that near copies choose the same. A text without any
+    has an empty sketch.
+    """
+    words = F.filter(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "), lambda x: x != "")
+    hashes = F.array(F.transform(words, _known))  # one element, so that the words are hashed once
+
+    def smallest(w: Column) -> Column:
+        anchors = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.get(w, i).bitwiseAND(3) == 0)
+        shingles = F.transform(anchors, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))  # NULL past the end is skipped
+        return F.slice(F.sort_array(F.array_distinct(shingles)), 1, SKETCH)
+
+    return F.transform(hashes, smallest)[0]
+
+
+def _alike(pages: DataFrame) -> DataFrame:
+    """(host, page, alike): pages of which half the sketch or more is on other pages of the host, and on how many, itself included.
+
+    ``alike`` is the number of pages that hold the sketch's median hash, hashes put in order of that number. A hash
+    that one page alone holds goes after the first count, so only what near copies or templates share is joined.
+    """
+    each = pages.select("host", "page", F.size("marks").alias("n"), F.explode("marks").alias("mark"))
+    often = each.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = each.join(often, ["host", "mark"]).groupBy("host", "page").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("c"), asc=False).alias("c"))
+    half = F.ceil(F.col("n") / 2).cast("int")
+    return met.filter(F.size("c") >= half).select("host", "page", F.element_at("c", half).alias("alike"))
+
+
+def line_shares(docs: DataFrame, host: str = "source", text: str = "text", near: bool = False) -> DataFrame:
     """(host, line, n_pages, host_pages): different pages of the host with the line, by the line's hash, and all of them.
 
     A page counts once for a line, however often it repeats it, and rows of equal text are one page of the
     host; NULL counts as the empty text. Lines without a word are not counted, nor are rows without a host.
-    ``copies``: (page, same), one row per page (``page_of``) that is a near copy, ``same`` being one page of its
-    group; a group then counts as one page of each host, which has the lines of all of them.
+    With ``near``, a page that is alike to m - 1 others of its host counts as 1 / m of a page, so a group of near
+    copies counts as about one; both numbers are then doubles, sums of whole numbers of 2 ** -30 and so the same on
+    every run. Pages with more than half of their shingles from one template are alike too.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = F.array_distinct(F.transform(F.filter(_lines(body), _has_word), _known))
-    rows = docs.select(F.col(f"`{host}`").alias("host"), page_of(F.col(f"`{text}`")).alias("page"), own.alias("lines")).filter("host is not null")
+    marks = [sketch(body).alias("marks")] if near else []
+    rows = docs.select(F.col(f"`{host}`").alias("host"), page_of(F.col(f"`{text}`")).alias("page"), own.alias("lines"), *marks).filter("host is not null")
+    if near:
+        each = stored(rows.groupBy("host", "page").agg(F.first("lines").alias("lines"), F.first("marks").alias("marks")))
+        part = F.floor(F.lit(UNIT) / F.coalesce("alike", F.lit(1))).cast("bigint")
+        each = each.join(_alike(each), ["host", "page"], "left").select("host", "lines", part.alias("part"))
+        total = F.sum("part") / F.lit(float(UNIT))
+        pages = each.groupBy("host").agg(total.alias("host_pages"))
+        counted = each.select("host", "part", F.explode("lines").alias("line")).groupBy("host", "line").agg(total.alias("n_pages"))
+        return counted.join(pages, "host")
     each = rows.groupBy("host", "page").agg(F.first("lines").alias("lines"))
-    if copies is None:
-        pages = rows.groupBy("host").agg(F.countDistinct("page").alias("host_pages"))
-        lines = each.select("host", F.explode("lines").alias("line"))
-    else:
-        once = each.join(copies, "page", "left").withColumn("page", F.coalesce("same", "page"))
-        pages = once.groupBy("host").agg(F.countDistinct("page").alias("host_pages"))
-        lines = once.select("host", "page", F.explode("lines").alias("line")).distinct()
-    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages"))
+    pages = rows.groupBy("host").agg(F.countDistinct("page").alias("host_pages"))
+    counted = each.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages"))
     return counted.join(pages, "host")
 
 
 def boilerplate(
-    docs: DataFrame, ratio: float = 0.08, least: int = 5, host: str = "source", text: str = "text", copies: DataFrame | None = None,
+    docs: DataFrame, ratio: float = 0.08, least: int = 5, host: str = "source", text: str = "text", near: bool = False,
 ) -> DataFrame:
     """(host, lines): hashes of the lines on more than ``ratio`` of the host's pages and on ``least`` pages or more.
 
     Per host at most (mean lines of a page) / ``ratio`` lines can pass, so the array stays small for any host.
     """
-    shares = line_shares(docs, host, text, copies).filter((F.col("n_pages") > F.col("host_pages") * ratio) & (F.col("n_pages") >= least))
+    shares = line_shares(docs, host, text, near).filter((F.col("n_pages") > F.col("host_pages") * ratio) & (F.col("n_pages") >= least))
     return shares.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 def drop_boilerplate(
     docs: DataFrame, ratio: float = 0.08, least: int = 5, host: str = "source", text: str = "text", counts: tuple[str, str] | None = None,
-    copies: DataFrame | None = None,
+    near: bool = False,
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of its host taken out of each text, other columns unchanged.
 
@@ -81,10 +122,10 @@ def drop_boilerplate(
     also those left with an empty text. Rows without a host or with NULL text keep their text; lines without
     a word stay in place. ``ratio`` and ``least`` hold for hosts of any size: a host with fewer than ``least``
     pages keeps all lines. The defaults are those of the query and its twin; corpora take ``SHARE`` and ``PAGES``.
-    ``copies`` is that of ``line_shares``. The hosts' arrays meet the rows by host: broadcast only below Spark's threshold,
+    ``near`` is that of ``line_shares``. The hosts' arrays meet the rows by host: broadcast only below Spark's threshold,
     else in a sort-merge join whose large hosts are split at run time.
     """
-    rare = boilerplate(docs, ratio, least, host, text, copies)
+    rare = boilerplate(docs, ratio, least, host, text, near)
     key, drop = free_name(docs, "site"), free_name(docs, "dropped")
     met = docs.join(rare.select(F.col("host").alias(key), F.col("lines").alias(drop)), F.col(f"`{host}`") == F.col(key), "left")
     body = F.col(f"`{text}`").cast("string")
