@@ -24,9 +24,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Near copies count as one page, else the lines of an article with many of them would go from all, also from
     the one that the next stage keeps.
     """
-    pages = docs.select(line_dedup.page_of(F.col("text")).alias("page"), "text")
-    copies = stored(jaccard_join.groups(pages, "page").filter("component_id <> page").select("page", F.col("component_id").alias("same")).distinct())
-    return line_dedup.drop_boilerplate(docs, line_dedup.SHARE, line_dedup.PAGES, copies=copies).withColumn("n_chars", F.length("text").cast("bigint"))
+    return line_dedup.drop_boilerplate(docs, line_dedup.SHARE, line_dedup.PAGES, near=True).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
