@@ -13,8 +13,15 @@ from panelforge.llm import decontaminate, jaccard_join, line_dedup, packing, qua
 from panelforge.session import stored
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts by bytes, not by 10,000 rows: they are held on both sides, in each core of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the strict policy; none is changed."""
+    _bounded_batches(spark)
     return quality_rules.apply_policy(docs, quality_rules.STRICT)
 
 
@@ -29,16 +36,19 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; documents without words stay."""
+    _bounded_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage within the error budget of a benchmark item."""
+    _bounded_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids, with their ids."""
+    _bounded_batches(spark)
     return packing.pack(docs)
 
 
