@@ -134,6 +134,27 @@ def stream_user_history(t):
     return _history_columns(ST.run_to_files(ST.user_history(event_stream(t), U, UO, "value", "us", [5], 2)))
 
 
+_SLICES = "least(4, ((us - min(us) OVER ()) * 5) // (max(us) OVER () - min(us) OVER () + 1))"
+
+
+@query("stream_late_answers", "X1", f"""
+WITH {EV}, s AS (SELECT user_id, event_id, us, value, {_SLICES} AS b FROM ev),
+n AS (SELECT *, row_number() OVER c AS i, sum(value) OVER c AS total FROM s WINDOW c AS ({W_EV})),
+p AS (SELECT user_id, event_id, us, count(value) OVER e AS past_count, avg(value) OVER e AS past_avg, stddev_pop(value) OVER e AS past_std,
+  lag(us, 1) OVER c - lag(us, 2) OVER c AS gap_0, lag(us, 2) OVER c - lag(us, 3) OVER c AS gap_1
+  FROM s WINDOW c AS ({W_EV}), e AS (PARTITION BY user_id ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT p.*, CASE WHEN past_count > 5 THEN (hi.total - lo.total) / 5 END AS past_avg_5
+FROM p LEFT JOIN n hi ON hi.user_id = p.user_id AND hi.i = p.past_count LEFT JOIN n lo ON lo.user_id = p.user_id AND lo.i = p.past_count - 5""",
+       "past_avg past_std past_avg_5", "gap_0 gap_1", digits=9)
+def stream_late_answers(t):
+    """Events in five slices of time, each a micro-batch; the values of a slice arrive with the next one."""
+    e = log(t).select("user_id", "event_id", "us", "value")
+    ends = e.agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"))  # one row
+    part = F.least(F.lit(4), F.floor((F.col("us") - F.col("_lo")) * 5 / (F.col("_hi") - F.col("_lo") + 1))).cast("int")
+    rows = ST.late_answers(O.attach(e, ends).withColumn("slice", part).drop("_lo", "_hi"), "slice", "value")
+    return _history_columns(ST.replay(rows, "slice", lambda s: ST.user_history(s, U, UO, "value", "us", [5], 2, answer="late")))
+
+
 def _history_columns(out):
     nul = lambda c: F.when(~F.isnan(c), F.col(c))
     return out.select("user_id", "event_id", "us", "past_count", nul("past_avg").alias("past_avg"), nul("past_std").alias("past_std"), nul("past_avg_5").alias("past_avg_5"),

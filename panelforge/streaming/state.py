@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ordered import listed
+from ..operators.ordered import listed, same_keys
 from ..sources.files import scratch
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -123,7 +123,7 @@ def history_state(df: DataFrame, keys, order, value, time, ns=(5, 10), gaps=3) -
     total = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
     d = df.withColumns({"tail": F.col(value).cast("double"), "times": F.col(time).cast("bigint")})
     tail = last_n(d, keys, order, ["tail"], max([*ns, 0]) + 1)
-    return total.join(tail, keys).join(last_n(d, keys, order, ["times"], gaps + 1), keys)
+    return same_keys(same_keys(total, tail, keys, "inner"), last_n(d, keys, order, ["times"], gaps + 1), keys, "inner")
 
 
 class _Buffer(_Keyed):
@@ -241,3 +241,37 @@ def run_to_files(stream, path=None, checkpoint=None) -> DataFrame:
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     q.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
+
+
+def late_answers(df: DataFrame, batch: str, value: str, answer: str = "late") -> DataFrame:
+    """Rows as a stream brings them: each without its ``value`` in its own batch, and with it, flagged, in the next one.
+
+    ``user_history`` with ``answer`` reads them; the keys' order puts answers before the rows of the later batch.
+    """
+    kind = df.schema[value].dataType
+    asked = df.withColumns({value: F.lit(None).cast(kind), answer: F.lit(False)})
+    return asked.unionByName(df.withColumns({batch: F.col(batch) + 1, answer: F.lit(True)}))
+
+
+def replay(df: DataFrame, batch: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Output of the stream ``make(source)`` when the rows arrive batch by batch, lowest number first.
+
+    Each batch is added to the source's folder and then read as one micro-batch, by as many tasks as it has files;
+    the checkpoint carries the state to the next. Rows without a batch number are left out. The driver sees the
+    numbers only, of which there are few: each is a run of the stream.
+    """
+    spark = df.sparkSession
+    kept, source, out, checkpoint = (scratch(spark, n) for n in ("kept", "source", "stream", "checkpoint"))
+    df.filter(F.col(batch).isNotNull()).write.partitionBy(batch).parquet(kept)
+    parts = spark.read.schema(df.schema).parquet(kept)  # a table without rows leaves no file to read it from
+    done = None
+    for r in parts.select(batch).distinct().orderBy(batch).collect():
+        parts.filter(F.col(batch) == r[batch]).write.mode("append").parquet(source)
+        done = run_to_files(make(spark.readStream.schema(parts.schema).parquet(source)), out, checkpoint)
+    return run_to_files(make(_no_source(spark, parts, source)), out, checkpoint) if done is None else done
+
+
+def _no_source(spark, parts, source):
+    """The stream of an empty folder, for a table without rows."""
+    parts.limit(0).write.mode("append").parquet(source)
+    return spark.readStream.schema(parts.schema).parquet(source)

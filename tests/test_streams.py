@@ -95,3 +95,25 @@ def test_scores_are_checked(spark):
     bad = ST.score_batches(stream(), lambda b: b.filter("i > 0").select("i"), "i", scratch(spark, "out")).start()
     with pytest.raises(Exception):
         bad.awaitTermination()
+
+
+def test_replay_with_late_answers(spark):
+    """Over four batches, features hold the values of earlier batches only; an empty table gives no rows."""
+    d = rows(spark).withColumn("b", F.floor(F.col("i") / 30).cast("int"))
+    late = ST.late_answers(d, "b", "x")
+    make = lambda s: ST.user_history(s, "k", ["t", "i"], "x", "t", [1], 1, answer="late")
+    got = {r["i"]: r for r in ST.replay(late, "b", make).collect()}
+    held = d.orderBy("t").collect()
+    assert len(got) == len(held)
+    for r in held:
+        past = [q["x"] for q in held if q["k"] == r["k"] and q["b"] < r["b"]]
+        assert got[r["i"]]["past_count"] == len(past)
+        assert close(got[r["i"]]["past_avg"], sum(past) / len(past) if past else None)
+        assert close(got[r["i"]]["past_avg_1"], past[-1] if len(past) > 1 else None)
+    assert ST.replay(late.filter("false"), "b", make).count() == 0
+
+
+def test_saved_state_keeps_the_null_key(spark):
+    d = spark.createDataFrame([(None, 1, 1, 2.0), (None, 2, 2, 4.0), ("a", 3, 3, 1.0)], SCHEMA)
+    got = {r["k"]: (r["n"], r["mean"], r["tail"]) for r in ST.history_state(d, "k", ["t", "i"], "x", "t", [1], 1).collect()}
+    assert got == {None: (2, 3.0, [2.0, 4.0]), "a": (1, 1.0, [1.0])}
