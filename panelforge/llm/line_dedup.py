@@ -47,14 +47,16 @@ def page_of(text: Column) -> Column:
 def sketch(text: Column) -> Column:
     """The ``SKETCH`` smallest hashes of a text's different 5-word shingles that begin with an anchor; words are in lower case.
 
-    Anchors are the words whose hash is divisible by 4, so that near copies choose the same. A text without any
-    has an empty sketch.
+    Anchors are the words whose hash is divisible by 4, so that near copies choose the same; in texts of fewer than
+    256 words all are, as a few hashes would say little. Copies on both sides of that length are two groups. A text
+    without any anchor has an empty sketch.
     """
     words = F.filter(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "), lambda x: x != "")
     hashes = F.array(F.transform(words, _known))  # one element, so that the words are hashed once
 
     def smallest(w: Column) -> Column:
-        anchors = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.get(w, i).bitwiseAND(3) == 0)
+        places = F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0)))
+        anchors = F.filter(places, lambda i: (F.size(w) < 256) | (F.get(w, i).bitwiseAND(3) == 0))
         shingles = F.transform(anchors, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))  # NULL past the end is skipped
         return F.slice(F.sort_array(F.array_distinct(shingles)), 1, SKETCH)
 
