@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import stored
 from .ordered import by_key, fill, listed, running, same_keys, splitters
 from .ranking import top_rows
 
@@ -176,12 +177,18 @@ def cross_keys(df, key, classes: dict[str, list[float]], event="event"):
     return df.select(key).distinct().select(key, F.explode(F.array(*pairs)).alias("_p")).select(key, "_p.*")
 
 
-def _match(times, truth, tol):
-    """Detection times, best first; each takes the nearest free truth (the earlier of equals) closer than the tolerance.
+UNMATCHED, MATCHED, OPEN, TRUTH = range(4)
 
-    ``truth`` is sorted. Links skip the taken ones, so a step takes about log n.
+
+def _match(times, truth, tol, lo=-np.inf, hi=np.inf):
+    """(state of each detection, truths to keep) for detections in order of rank and truths in order of time.
+
+    Rows below ``lo`` and from ``hi`` on are unknown, so a truth near an edge may be taken from there. A detection
+    is decided if its nearest truth is surely free and nearer than an edge; else it stays open, and every truth
+    that it may take counts as perhaps taken for all that rank below it. What is decided holds for any rows outside.
     """
-    left, right = list(range(len(truth) + 1)), list(range(len(truth) + 1))  # nearest free at or below / above
+    left, right = list(range(len(truth) + 1)), list(range(len(truth) + 1))
+    taken, maybe = np.zeros(len(truth), bool), (truth - lo < tol) | (hi - truth < tol)
 
     def free(links, i):
         while links[i] != i:
@@ -189,21 +196,40 @@ def _match(times, truth, tol):
             i = links[i]
         return i
 
-    matched = []
-    for t, at in zip(times, np.searchsorted(truth, times, side="right")):
-        lo, hi = free(left, at) - 1, free(right, at)  # left is shifted by one: 0 stands for none
-        gap_lo = t - truth[lo] if lo >= 0 else np.inf
-        gap_hi = truth[hi] - t if hi < len(truth) else np.inf
-        gap, i = (gap_lo, lo) if gap_lo <= gap_hi else (gap_hi, hi)
-        matched.append(gap < tol)
-        if matched[-1]:
-            left[i + 1], right[i] = i, i + 1
-    return matched
-
-
-def _match_runs(keys, tolerance, batches):
-    """Match run by run over a partition sorted by run; the parts of a run cut by batch ends are joined once, at its end."""
-    by, held = [*keys, "_run"], []
+    states = np.full(len(times), UNMATCHED)
+    for d, (t, at) in enumerate(zip(times, np.searchsorted(truth, times, side="right"))):
+        below, above = free(left, at) - 1, free(right, at)  # left is shifted by one: 0 stands for none
+        edge = min(t - lo, hi - t)
+        while True:
+            gap_lo = t - truth[below] if below >= 0 else np.inf
+            gap_hi = truth[above] - t if above < len(truth) else np.inf
+            gap, i = (gap_lo, below) if gap_lo <= gap_hi else (gap_hi, above)
+            if edge < tol and edge <= gap:
+                states[d] = OPEN
+            if not gap < tol:
+                break
+            if not maybe[i]:
+                if states[d] == OPEN:
+                    maybe[i] = True
+                else:
+                    states[d], taken[i] = MATCHED, True
+                    left[i + 1], right[i] = i, i + 1
+                break
+            states[d] = OPEN
+            if i == below:
+                below = free(left, below) - 1
+            else:
+                above = free(right, above + 1)
+    near = np.sort(times[states == OPEN])
+    after = np.searchsorted(near, truth)
+    padded = np.concatenate([[-np.inf], near, [np.inf]])
+    wanted = np.minimum(truth - padded[after], padded[after + 1] - truth) < tol
+    return states, ~taken & (wanted | (truth - lo < tol) | (hi - truth < tol))
+
+
+def _match_runs(by, tolerance, batches):
+    """Match piece by piece over a partition sorted by piece; the parts of a piece cut by batch ends are joined once, at its end."""
+    held = []
 
     def ended():
         frame = pd.concat(held, ignore_index=True)
@@ -233,27 +259,51 @@ def _match_runs(keys, tolerance, batches):
 def _matched(pdf, ids, tolerance):
     if not len(pdf):
         return
-    isd, t, tol = pdf["_isd"].to_numpy() == 1, pdf["_t"].to_numpy(), pdf[tolerance].to_numpy()
+    isd, t, tol, lo, hi = pdf["_isd"].to_numpy() == 1, *(pdf[c].to_numpy() for c in ("_t", tolerance, "_lo", "_hi"))
     best = np.lexsort((pdf["_id"].to_numpy(), -pdf["_score"].to_numpy()))
     rank = np.empty(len(best), int)
     rank[best] = np.arange(len(best))
-    out = np.zeros(len(pdf), bool)
+    out = np.full(len(pdf), -1)
     edges = np.flatnonzero(np.diff(ids)) + 1
     for part in np.split(np.arange(len(pdf)), edges):
-        d = part[isd[part]]
-        d = d[np.argsort(rank[d])]
-        out[d] = _match(t[d], np.sort(t[part[~isd[part]]]), tol[part[0]])
-    yield pdf.assign(matched=out)[isd]
+        d, g = part[isd[part]], part[~isd[part]]
+        d, g = d[np.argsort(rank[d])], g[np.argsort(t[g], kind="stable")]
+        out[d], kept = _match(t[d], t[g], tol[part[0]], lo[part[0]], hi[part[0]])
+        out[g[kept]] = TRUTH
+    yield pdf.assign(_state=out)[out >= 0].drop(columns=["_seg", "_lo", "_hi"])
+
 
+def _pieces(runs, keys, tolerance, rows, shifted):
+    """Runs with a piece number and the edges of the piece; runs of more than ``rows`` rows are cut into equal spans of time.
 
-def greedy_match(truths, dets, keys, time, score, did, tolerance="tolerance"):
+    A span is 64 tolerances at least. ``shifted`` moves the cuts by half a span, so that what was at an edge is now inside.
+    """
+    by = [*keys, "_run"]
+    long = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last")).filter(F.col("_n") > rows)
+    x = with_null_keys(runs, long, by, "left")
+    span = F.greatest(64 * F.col(tolerance), (F.col("_last") - F.col("_first")) * rows / F.col("_n"))
+    start = F.col("_first") - (span / 2 if shifted else F.lit(0.0))
+    x = x.withColumn("_seg", F.when(F.col("_n").isNull(), 0).otherwise(F.floor((F.col("_t") - start) / span)).cast("bigint"))
+    margin = F.col(tolerance) / 100  # far above what rounding moves an edge by
+    lo, hi = start + F.col("_seg") * span, start + (F.col("_seg") + 1) * span
+    open_lo, open_hi = F.col("_n").isNull() | (lo <= F.col("_first")), F.col("_n").isNull() | (hi > F.col("_last") + margin)
+    x = x.withColumns({
+        "_lo": F.when(open_lo, F.lit(float("-inf"))).otherwise(lo + margin), "_hi": F.when(open_hi, F.lit(float("inf"))).otherwise(hi - margin)})
+    return x.drop("_n", "_first", "_last")
+
+
+def greedy_match(truths, dets, keys, time, score, did, tolerance="tolerance", rows=200_000):
     """Flag the detections that match a truth, one to one, in order of score within the keys and tolerance.
 
     A gap of at least the tolerance between neighbouring times separates what can
-    match, so each key falls apart into short runs and only a run is one group.
+    match, so each key falls apart into runs. A run of more than ``rows`` rows is cut into
+    pieces, matched apart as far as the rows beyond the cuts can't matter. The few rows left open around the
+    cuts are matched in further rounds, with other cuts, until none is open; any cut gives the same result.
+    Scores that fall along one long run hand their doubt from piece to piece: then as many rounds as pieces.
     """
     keys = listed(keys) + [tolerance]
     t = truths.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(0).alias("_isd"), F.lit(0).cast("bigint").alias("_id"), F.lit(None).cast("double").alias("_score"))
+    t = t.filter(F.col("_t").isNotNull())
     d = dets.filter(F.col(score).isNotNull() & F.col(time).isNotNull())
     d = d.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_isd"), F.col(did).cast("bigint").alias("_id"), F.col(score).cast("double").alias("_score"))
     order = ["_t", "_isd", "_id"]
@@ -265,11 +315,20 @@ def greedy_match(truths, dets, keys, time, score, did, tolerance="tolerance"):
     both = t.unionByName(d)
     cuts = splitters(both, keys, order)
     runs = running(by_key(both, keys, order, cut, before=1, split=cuts), keys, order, ["_new"], ["sum"], split=cuts, names=lambda c, a: "_run")
-    runs = runs.drop("_new").repartition(*keys, "_run").sortWithinPartitions(*keys, "_run")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields]
-    schema = ", ".join([*fields, "matched boolean"])
-    out = runs.mapInPandas(lambda batches: _match_runs(keys, tolerance, batches), schema)
-    return out.select(*keys, F.col("_id").alias(did), F.col("_score").alias(score), "matched")
+    left = stored(runs.select(*keys, *order, "_score", "_run"))
+    by = [*keys, "_run", "_seg"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields), "_state int"])
+    done, rounds = [], 0
+    while True:
+        pieces = _pieces(left, keys, tolerance, rows, rounds % 2 == 1).select(*left.columns, "_seg", "_lo", "_hi")
+        ready = pieces.repartition(*by).sortWithinPartitions(*by)
+        out = stored(ready.mapInPandas(lambda batches: _match_runs(by, tolerance, batches), schema))
+        done.append(out.filter(F.col("_state") <= MATCHED))
+        if out.filter(F.col("_state") == OPEN).isEmpty():
+            break
+        left, rounds = out.filter(F.col("_state") >= OPEN).drop("_state"), rounds + 1
+    out = reduce(DataFrame.unionByName, done)
+    return out.select(*keys, F.col("_id").alias(did), F.col("_score").alias(score), (F.col("_state") == MATCHED).alias("matched"))
 
 
 def complete_range(df, keys, step, width=1, pad=None):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import joins as J, metrics as M
+from panelforge.session import stored
 
 
 def made(spark, n, seed, key=None):
@@ -72,6 +73,30 @@ def test_greedy_match(spark):
         assert {x["did"]: x["matched"] for x in got if x["tolerance"] == tol} == brute_match(truth, dets, tol)
 
 
+@pytest.mark.parametrize("scores, tol", [("random", 0.02), ("random", 0.11), ("falling", 0.11), ("tied", 0.02)])
+def test_match_of_a_cut_run(spark, scores, tol):
+    """One unbroken chain in pieces of few rows, in rounds: as if it were one piece. Some times are equal, the key is NULL."""
+    r = random.Random(7)
+    truth = [round(i * 0.04 + r.random() * 0.01, 3) for i in range(700)] + [5.0, 5.0]
+    times = [round(i * 0.025 + r.random() * 0.005, 3) for i in range(1100)] + [5.0, 5.0, -3.0]
+    score = {"random": lambda i: r.random(), "falling": lambda i: -float(i), "rising": float, "tied": lambda i: float(i % 3)}[scores]
+    dets = [(i, x, score(i)) for i, x in enumerate(times)]
+    t = spark.createDataFrame([(None, x, tol) for x in truth], "k string, time double, tolerance double")
+    d = spark.createDataFrame([(None, i, x, s, tol) for i, x, s in dets], "k string, did bigint, time double, score double, tolerance double")
+    got = J.greedy_match(t, d, "k", "time", "score", "did", rows=400).collect()
+    assert len(got) == len(dets)
+    assert {x["did"]: x["matched"] for x in got} == brute_match(truth, dets, tol)
+
+
+def test_match_of_a_long_chain(spark):
+    """120,000 rows without a gap: pieces of at most a few thousand rows give what one piece of all rows gives."""
+    t = spark.range(60_000).select(F.lit("v").alias("k"), (F.col("id") + F.rand(1) / 2).alias("time"), F.lit(1.5).alias("tolerance"))
+    d = spark.range(60_000).select(F.lit("v").alias("k"), F.col("id").alias("did"), (F.rand(2) * 60_000).alias("time"), F.rand(3).alias("score"), F.lit(1.5).alias("tolerance"))
+    t, d = stored(t), stored(d)
+    whole, cut = (J.greedy_match(t, d, "k", "time", "score", "did", rows=n) for n in (10**9, 3_000))
+    assert whole.count() == 60_000 and whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty()
+
+
 def test_match_is_strict_at_the_tolerance(spark):
     t = spark.createDataFrame([("v", 10.0, 1.0)], "k string, time double, tolerance double")
     d = spark.createDataFrame([("v", 1, 11.0, 0.9, 1.0), ("v", 2, 10.5, 0.8, 1.0)], "k string, did bigint, time double, score double, tolerance double")
