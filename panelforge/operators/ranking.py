@@ -10,6 +10,9 @@ from ..session import stored
 from .ordered import attach, listed, positions_all, same_keys
 
 
+CELLS = 1 << 14
+
+
 def top_values(df, col, n):
     """The n most frequent values; ties go to the smaller value."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), col).limit(n)
@@ -70,9 +73,27 @@ def shuffle(df, keys, seed=0):
 
 
 def sample(df, keys, n, seed=0, draw: Column | None = None):
-    """n rows, those with the smallest hash."""
-    h = F.xxhash64(*[F.col(c) for c in listed(keys)], F.lit(seed)) if draw is None else draw
-    return df.orderBy(h, *listed(keys)).limit(n)
+    """n rows, those with the smallest hash (or finite ``draw``; NULL first), ties to the smaller keys; all if fewer.
+
+    Counts of the hash in equal cells show the cell in which the n-th row lies. Rows of the cells before stay
+    without a shuffle; only those of that cell are ordered, over many tasks.
+    """
+    if n <= 0:
+        return df.limit(0)
+    keys = listed(keys)
+    h = F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)) if draw is None else draw
+    drawn = df.withColumn("_h", h)
+    lo, hi = (-(2.0**63), 2.0**63) if draw is None else drawn.agg(F.min("_h").cast("double"), F.max("_h").cast("double")).first()
+    width = ((hi or 0.0) - (lo or 0.0)) / CELLS or 1.0
+    placed = drawn.withColumn("_cell", F.coalesce(F.floor((F.col("_h").cast("double") - F.lit(lo or 0.0)) / width), F.lit(-1)).cast("int"))
+    counted = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))  # at most CELLS + 2 rows
+    total = counted.withColumn("_upto", F.sum("_c").over(W.orderBy("_cell")))
+    edge = total.filter(F.col("_upto") >= n).agg(F.min(F.struct("_cell", (n - F.col("_upto") + F.col("_c")).alias("left"))).alias("e")).first()["e"]
+    if edge is None:
+        return df
+    inside = placed.filter(F.col("_cell") < edge["_cell"]).drop("_h", "_cell")
+    last = positions_all(placed.filter(F.col("_cell") == edge["_cell"]).drop("_cell"), ["_h", *keys], "_pos")
+    return inside.unionByName(last.filter(F.col("_pos") <= edge["left"]).drop("_h", "_pos"))
 
 
 def batches(df, order, size, name="batch"):
